@@ -8,10 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import bpe, simhash
-from vicinal.sources import table
+from vicinal.llm import bpe, cas, language, pii, simhash, spotsigs, toxicity, warc
+from vicinal.sources import scratch_path, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+WORD_TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
+
+
+def remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    found = spotsigs.compare_edited(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
 
 
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,8 +43,41 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, RANKS, PATTERN))
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.summary(pii.find(table(spark, folder, "documents")))
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.FactorizationMachine:
+    learn = table(spark, folder, "labels").filter(remainder(3) != 1)
+    return toxicity.fit(table(spark, folder, "documents"), learn)
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.score(table(spark, folder, "documents"), toxicity_model(spark, folder))
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.predict(docs, language.fit(docs.filter(remainder(4) != 2)))
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "store")
+    cas.write(table(spark, folder, "documents"), path, WORD_TOKENIZER, END_ID)
+    return cas.read(spark, path)
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, folder, "pages"), path)
+    found = warc.read_pages(spark, path)
+    return found.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_byte_bpe)}
+    return {f.__name__: f for f in (op2_spotsigs, op4_simhash, op5_byte_bpe, op6_pii, op7_toxicity, op8_language, op9_token_store, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
