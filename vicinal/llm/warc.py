@@ -395,11 +395,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                 names=["page_id", "record_id", "payload_bytes", "payload_digest"],
             )
 
-    full = spark.read.format("warc").load(path).filter("record_type = 'response'").select("page_id", "record_id", "payload", "payload_digest")
+    def of_type(kind: str, payload: bool) -> DataFrame:  # a relation of its own for every scan: Spark keeps one set of pushed filters for each
+        found = spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+        return found.filter(F.col("record_type") == kind)
+
+    full = of_type("response", True).select("page_id", "record_id", "payload", "payload_digest")
     responses = full.mapInArrow(measure, "page_id string, record_id string, payload_bytes long, payload_digest string")
-    heads = spark.read.format("warc").option("payload", "false").load(path)
-    revisits = heads.filter("record_type = 'revisit'").select("page_id", "refers_to", F.col("payload_length").alias("payload_bytes"), "payload_digest")
-    named = heads.filter("record_type = 'response'").select("record_id", F.col("page_id").alias("of")).distinct()
+    revisits = of_type("revisit", False).select("page_id", "refers_to", F.col("payload_length").alias("payload_bytes"), "payload_digest")
+    named = of_type("response", False).select("record_id", F.col("page_id").alias("of")).distinct()
     again = revisits.join(named, revisits["refers_to"] == named["record_id"], "left").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("of").alias("refers_to"))
     own = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
     return own.unionByName(again)
