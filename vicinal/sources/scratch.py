@@ -16,9 +16,11 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder, without a trailing slash."""
+    """The shared folder with its scheme, without a trailing slash."""
     if shared := spark.conf.get(_SETTING, None):
-        return shared.rstrip("/")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(shared)
+        system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return system.makeQualified(folder).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder that all machines share")
     return _own.setdefault(_SETTING, f"file://{tempfile.mkdtemp(prefix='vicinal-')}")
