@@ -16,8 +16,11 @@ store; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -30,13 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from vicinal.llm.common import map_arrow, rows_of, slices
 from vicinal.sources import stored
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, np.uint32((1 << 9) - 1)
-#: Words a process keeps the ids of; the map is emptied when full.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words that a process keeps the ids of; the table is emptied when full.
+CACHE_WORDS = 1_000_000
+#: New words that the model gets at once.
+LINE_WORDS = 256
 
 # One random 32-bit number per id, from a fixed multiplicative generator.
 _MIX = np.uint32(2654435761)
@@ -57,57 +63,180 @@ def digest(packed: bytes) -> bytes:
     return hashlib.blake2b(b"\x00" + packed, digest_size=16).digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document; they depend on the ids near them, not on their place."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: where a hash of the last 16 ids has nine zero bits."""
     mixed = (ids.astype(np.uint32) + np.uint32(1)) * _MIX
     mixed ^= mixed >> np.uint32(15)
-    rolled = np.zeros(n, dtype=np.uint32)
-    for k in range(WINDOW):
-        rolled[k:] += mixed[: n - k] * np.uint32(2 * k + 1)
+    rolled = np.zeros(len(ids), dtype=np.uint32)
+    for k in range(min(WINDOW, len(ids))):
+        rolled[k:] += mixed[: len(ids) - k] * np.uint32(2 * k + 1)
     rolled ^= rolled >> np.uint32(13)
-    out, start = [], 0
-    for at in np.flatnonzero(((rolled * _MIX) >> np.uint32(11) & MASK) == 0).tolist():
-        while at + 1 - start > MOST:
+    return np.flatnonzero(((rolled * _MIX) >> np.uint32(11) & MASK) == 0) + 1
+
+
+def _ends(marks: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of the ids from start to stop; chunks have ``LEAST`` to ``MOST`` ids, the last may have fewer."""
+    out = []
+    for at in marks:
+        while at - start > MOST:
             start += MOST
             out.append(start)
-        if at + 1 - start >= LEAST:
-            start = at + 1
-            out.append(start)
-    while n - start > MOST:
+        if at - start >= LEAST:  # the 16 ids that the mark depends on are in this chunk
+            start = at
+            out.append(at)
+    while stop - start > MOST:
         start += MOST
         out.append(start)
-    return out if start == n else [*out, n]
+    return out if start == stop else [*out, stop]
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document; they depend on the ids near them, not on their place."""
+    return _ends(_marks(ids).tolist(), 0, len(ids))
+
+
+def _class(category: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(_LATIN) if unicodedata.category(chr(c))[0] == category)
+
+
+# Texts of Latin letters and common punctuation in composed form are cut here as the tokenizer
+# cuts them: white space parts words, words are lower-cased and fall into letters, single
+# numbers, contractions and the rest. All others go through the tokenizer whole.
+_LATIN = 0x250
+_OTHER = re.compile(f"[^\0-{chr(_LATIN - 1)}\u2010-\u2027]|[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\xa0]")
+_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|\n|[^\s{_class('L')}{_class('N')}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from 256 on."""
+    out, spare = [], 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte:
+            out.append(chr(byte))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
+
+
+# Odd numbers, so that they have inverses modulo 2**64.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a number and of its inverse, modulo 2**64."""
+    out = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(n, x, dtype=np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers))
+    return out[0], out[1]
 
 
 class Encoder:
-    """Ids of whole texts, word by word: the tokenizer drops white space and merges within words."""
+    """Ids of whole texts by the tokenizers library; words met before are looked up.
+
+    The tokenizer drops white space and merges within the pieces of a word, so the ids of a
+    text are those of its pieces in order.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
         self._tokenizer.encode_special_tokens = True
         self.wide = self._tokenizer.get_vocab_size() > 1 << 16
-        self._ids: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if len(self._ids) + len(words) > CACHE_WORDS:
-            self._ids.clear()
-        fresh = [w for w in words if w not in self._ids]
-        for start in range(0, len(fresh), 20_000):
-            some = fresh[start : start + 20_000]
-            self._ids.update(zip(some, (tuple(e.ids) for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        kind, get = np.dtype("<u4" if self.wide else "<u2"), self._ids.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(get, w)), dtype=kind) for w in split]
-        for word in fresh:
-            if len(word) > CACHE_CHARS:
-                del self._ids[word]
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        letters = _byte_letters()
+        self._letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in (10, *range(128, _LATIN), *range(0x2010, 0x2028))}
+        self._bare = Tokenizer(self._tokenizer.model)  # the same model, for pieces that are cut and spelled in byte letters
+        self._bare.pre_tokenizer = WhitespaceSplit()
+        self._feed = self._letters[10]
+        (self._feed_id,) = self._bare.encode(self._feed, add_special_tokens=False).ids
+        self._powers = [_powers(base, 1 << 16) for base in _BASES]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the tables: sorted hashes of known words, and where their ids are in the pool."""
+        self._hashes = np.zeros((2, 0), dtype=np.uint64)
+        self._starts, self._sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._pool = np.zeros(0, dtype=self.kind)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words after each other, and how many each has.
+
+        The pieces of some words at a time go to the model as one line, a line feed after each word.
+        """
+        lines = []
+        for start in range(0, len(words), LINE_WORDS):
+            text = " ".join(_CUT.findall("\n".join(words[start : start + LINE_WORDS]).lower() + "\n"))
+            lines.append(text.replace("\n", self._feed) if text.isascii() else text.translate(self._letters))
+        parts = [e.ids for e in self._bare.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=sum(map(len, parts)))
+        at = np.flatnonzero(ids == self._feed_id)
+        return np.delete(ids, at).astype(self.kind), np.diff(at, prepend=-1) - 1
+
+    def _hashed(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Two 64-bit hashes of every word: polynomials of its bytes, from running sums."""
+        while len(self._powers[0][0]) < len(raw):
+            self._powers = [_powers(base, 2 * len(raw)) for base in _BASES]
+        out = np.empty((2, len(starts)), dtype=np.uint64)
+        for i, (power, inverse) in enumerate(self._powers):
+            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+            np.cumsum((raw + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+            value = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+            value ^= value >> np.uint64(29)
+            out[i] = value * np.uint64(0xBF58476D1CE4E5B9)
         return out
 
+    def _latin(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = [t.encode() for t in texts]
+        joined = b" ".join(parts) + b" "
+        raw = np.frombuffer(joined, dtype=np.uint8)
+        gap = raw <= 32  # of these bytes the texts hold white space only
+        starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+        ends = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
+        hashes = self._hashed(raw, starts, ends)
+        distinct, first, of = np.unique(hashes[0], return_index=True, return_inverse=True)
+        second = hashes[1][first]
+        if (second[of] != hashes[1]).any():
+            raise ValueError("two words have one hash")
+        if self._hashes.shape[1] + len(distinct) > CACHE_WORDS:
+            self._forget()
+        at = np.searchsorted(self._hashes[0], distinct)
+        there = np.minimum(at, max(0, self._hashes.shape[1] - 1))
+        known = self._hashes[0][there] == distinct if self._hashes.shape[1] else np.zeros(len(distinct), dtype=bool)
+        if known.any() and (self._hashes[1][there] != second)[known].any():
+            raise ValueError("two words have one hash")
+        new = np.flatnonzero(~known)
+        if len(new):
+            words = [joined[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            ids, sizes = self._ids(words)
+            begin = len(self._pool) + np.cumsum(sizes) - sizes
+            self._pool = np.concatenate([self._pool, ids])
+            self._hashes = np.stack([np.insert(self._hashes[i], at[new], x[new]) for i, x in enumerate((distinct, second))])
+            self._starts, self._sizes = np.insert(self._starts, at[new], begin), np.insert(self._sizes, at[new], sizes)
+            at = np.searchsorted(self._hashes[0], distinct)
+        sizes = self._sizes[at][of]
+        upto = np.cumsum(sizes)
+        source = np.repeat(self._starts[at][of] - (upto - sizes), sizes)
+        source += np.arange(len(source))
+        words_before = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
+        last = np.concatenate([[0], upto])[words_before]
+        return np.insert(self._pool[source], last, self.kind.type(end_id)), last + np.arange(1, len(last) + 1)
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts after each other, each with the end id, and where each ends."""
+        plain = [_OTHER.search(t) is None and unicodedata.is_normalized("NFC", t) for t in texts]
+        if all(plain):
+            return self._latin(texts, end_id)
+        ids, ends = self._latin([t for t, p in zip(texts, plain, strict=True) if p], end_id) if any(plain) else (np.zeros(0, self.kind), np.zeros(0, np.int64))
+        easy = iter(np.split(ids, ends[:-1]))
+        parts = [
+            next(easy) if p else np.array([*self._tokenizer.encode(t, add_special_tokens=False).ids, end_id], dtype=self.kind)
+            for t, p in zip(texts, plain, strict=True)
+        ]
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
 
 @cache
 def encoder(tokenizer_file: str) -> Encoder:
@@ -121,21 +250,25 @@ def _cut(docs: DataFrame, tokenizer_file: str, end_id: int, id_column: str, text
     columns = [("doc_id", pa.array([], "int64").type), ("n_tokens", pa.int64()), ("hashes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("root", pa.binary()), ("hash", pa.binary()), ("ids", pa.binary())]
 
     def run(batch: pa.RecordBatch):
+        gc.disable()  # the many small lists of a batch hold no cycles, and looking for some takes a sixth of the time
         coder = encoder(tokenizer_file)
         types = [batch.column("doc_id").type, *(t for _, t in columns[1:])]
         names = [n for n, _ in columns]
         for part in slices(batch, "text", 4 << 20):
-            recipes, chunks = [], {}
-            for ids in coder.encode(part.column("text").to_pylist()):
-                ids = np.append(ids, ids.dtype.type(end_id))
-                hashes, sizes, start = [], [], 0
-                for stop in cuts(ids):
-                    packed = ids[start:stop].tobytes()
+            recipes, chunks, start = [], {}, 0
+            ids, stops = coder.encode(part.column("text").to_pylist(), end_id)
+            marks = _marks(ids)
+            own = np.searchsorted(marks, np.concatenate([[0], stops]), "right").tolist()
+            marks, raw, width = marks.tolist(), ids.tobytes(), ids.itemsize
+            for i, stop in enumerate(stops.tolist()):
+                hashes, sizes, n = [], [], stop - start
+                for end in _ends(marks[own[i] : own[i + 1]], start, stop):
+                    packed = raw[start * width : end * width]
                     hashes.append(digest(packed))
-                    sizes.append(stop - start)
+                    sizes.append(end - start)
                     chunks[hashes[-1]] = packed
-                    start = stop
-                recipes.append((len(ids), hashes, sizes, merkle(hashes)))
+                    start = end
+                recipes.append((n, hashes, sizes, merkle(hashes)))
             made = [part.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(zip(*recipes, strict=True), types[1:5], strict=True))]
             yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(recipes), pa.binary()), pa.nulls(len(recipes), pa.binary())], names=names)
             yield pa.RecordBatch.from_arrays(
@@ -190,29 +323,30 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, *, id_co
 _POLY = 0xEDB88320  # Fixed value: the CRC-32 polynomial, reflected.
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two reflected polynomials modulo the CRC polynomial."""
-    out = 0
+def _times(a, b):
+    """Product of two reflected polynomials modulo the CRC polynomial, of numbers or arrays."""
+    a, b = np.asarray(a, dtype=np.uint32), np.asarray(b, dtype=np.uint32)
+    out, one = np.zeros(np.broadcast(a, b).shape, dtype=np.uint32), np.uint32(1)
     for k in range(31, -1, -1):
-        if a >> k & 1:
-            out ^= b
-        b = b >> 1 ^ (_POLY if b & 1 else 0)
+        out ^= b * (a >> np.uint32(k) & one)
+        b = b >> one ^ np.uint32(_POLY) * (b & one)
     return out
 
 
 @lru_cache(1 << 16)
 def _shift(n_bytes: int) -> int:
-    power, square, n = 1 << 31, 1 << 30, 8 * n_bytes
+    """The factor that moves a checksum over so many bytes."""
+    power, square, n = np.uint32(1 << 31), np.uint32(1 << 30), 8 * n_bytes
     while n:
         if n & 1:
             power = _times(power, square)
         square, n = _times(square, square), n >> 1
-    return power
+    return int(power)
 
 
 def crc_join(first: int, second: int, n_bytes: int) -> int:
     """CRC-32 of two byte strings after each other, from theirs and the length of the second."""
-    return _times(_shift(n_bytes), first) ^ second
+    return int(_times(_shift(n_bytes), first)) ^ second
 
 
 def _checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -267,14 +401,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def join(batch: pa.RecordBatch):
-        crcs = []
-        for parts, n in zip(batch.column("parts").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
-            if any(p["n"] is None for p in parts) or sum(p["n"] for p in parts) != n:
-                raise ValueError("chunks of a document are missing")
-            crc = 0
-            for i, p in enumerate(parts):
-                crc = crc_join(crc, p["crc"], 4 * p["n"]) if i else p["crc"]
-            crcs.append(crc)
+        parts = batch.column("parts")
+        starts = parts.offsets.to_numpy().astype(np.int64)
+        _, crc_of, n_of = parts.values.flatten()
+        if n_of.null_count:
+            raise ValueError("chunks of a document are missing")
+        sizes, crc_of, n_of = np.diff(starts), crc_of.to_numpy().astype(np.uint32), n_of.to_numpy().astype(np.int64)
+        if (np.add.reduceat(n_of, starts[:-1]) != batch.column("n_tokens").to_numpy()).any():
+            raise ValueError("chunks of a document are missing")
+        crcs = crc_of[starts[:-1]]
+        for k in range(1, int(sizes.max())):
+            more = np.flatnonzero(sizes > k)
+            at = starts[more] + k
+            known, place = np.unique(n_of[at], return_inverse=True)
+            shift = np.array([_shift(4 * int(n)) for n in known], dtype=np.uint32)[place]
+            crcs[more] = _times(shift, crcs[more]) ^ crc_of[at]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return map_arrow(found, join, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -216,8 +216,10 @@ class Tagger:
 
     def tag(self, texts: list[str]) -> list[np.ndarray]:
         """(word, label) probabilities of every text."""
-        placed = self.places(texts)
         k = len(self.model.labels)
+        if not k:
+            return [np.zeros((0, 0))] * len(texts)
+        placed = self.places(texts)
         out: list[np.ndarray] = [np.zeros((0, k))] * len(texts)
         order = sorted((i for i, p in enumerate(placed) if len(p)), key=lambda i: -len(placed[i]))
         while order:
@@ -252,7 +254,7 @@ def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
                     words.append(" ".join(found[start : start + SEGMENT]))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], names=["lang", "words"])
 
-    sample = map_arrow(rows, run, "lang string, words string").toPandas().drop_duplicates().sort_values(["lang", "words"], kind="stable")
+    sample = map_arrow(rows, run, "lang string, words string").toArrow().to_pandas().drop_duplicates().sort_values(["lang", "words"], kind="stable")
     return Crf.fit([(lang, words.split(" ")) for lang, words in sample.itertuples(index=False) if words])
 
 

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import bpe, cas, language, pii, simhash, spotsigs, toxicity, warc
+from vicinal.llm import bpe, cas, decontaminate, language, pii, scoring, simhash, spotsigs, toxicity, warc
 from vicinal.sources import scratch_path, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+VOCABULARY = 50_256  # ids of the rank file; the next stands for the beginning of a text
 WORD_TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
 
 
@@ -20,6 +21,12 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Target: documents rated of good quality; background: all documents."""
+    good = table(spark, folder, "labels").filter("quality = 1")
+    return scoring.score(table(spark, folder, "documents"), good, RANKS, PATTERN, VOCABULARY)
+
+
 def op2_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     found = spotsigs.compare_edited(table(spark, folder, "documents"))
     return found.select(
@@ -33,6 +40,10 @@ def op2_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -77,7 +88,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_spotsigs, op4_simhash, op5_byte_bpe, op6_pii, op7_toxicity, op8_language, op9_token_store, op10_warc)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_spotsigs, op3_decontamination, op4_simhash, op5_byte_bpe, op6_pii, op7_toxicity, op8_language, op9_token_store, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -168,6 +168,19 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, *, id_column: s
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, most_bits: int = MOST_BITS, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns: one of each component, that of its least id.
+
+    Rows without an id cannot be named by a component; of these, one of each text stays.
+    """
+    named = docs.filter(docs[id_column].isNotNull())
+    found = near_duplicates(named, most_bits, id_column=id_column, text_column=text_column)
+    least = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_column))
+    kept = named.join(least, id_column, "left_semi").dropDuplicates([id_column])
+    nameless = docs.filter(docs[id_column].isNull()).dropDuplicates([text_column])
+    return kept.select(*docs.columns).unionByName(nameless)
+
+
 def hexadecimal(fp) -> F.Column:
     """A fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

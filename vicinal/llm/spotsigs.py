@@ -76,7 +76,7 @@ def successors(rows: DataFrame) -> DataFrame:
         placed = Bucketizer(splits=cuts, inputCol="key", outputCol="bucket", handleInvalid="keep").transform(placed)
     else:
         placed = placed.withColumn("bucket", F.lit(0.0))
-    placed = placed.select("doc_id", "text", F.when(F.col("key").isNull(), -1.0).otherwise(F.col("bucket")).alias("bucket"))
+    placed = placed.select("doc_id", "text", F.when(F.col("key").isNull(), -1).otherwise(F.col("bucket").cast("int")).alias("bucket"))
     heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("head"))  # MOST_RANGES + 1 rows at most
     order = Window.orderBy("bucket")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

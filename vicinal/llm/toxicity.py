@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id_column:
             found = [_terms(t).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(found, pa.binary())], names=["y", "terms"])
 
-    sample = map_arrow(rows, run, "y int, terms binary").toPandas()
+    sample = map_arrow(rows, run, "y int, terms binary").toArrow().to_pandas()
     if not len(sample):
         return FactorizationMachine(np.zeros(0, np.uint32), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
     sample = sample.sort_values(["y", "terms"], kind="stable")
@@ -140,3 +140,17 @@ def score(docs: DataFrame, model: FactorizationMachine, *, id_column: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: FactorizationMachine, *, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = shared.value
+        slots = own.slots()
+        for batch in batches:
+            for part in slices(batch, text_column) if batch.num_rows else ():
+                yield part.filter(pa.array(own.scores([t or "" for t in part.column(text_column).to_pylist()], slots) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -271,7 +271,9 @@ class _Reader(DataSourceReader):
             files = [f"{root.rstrip('/')}/{n}" for n in names]
         return [_File(p) for p in sorted(files) if p.endswith((".warc", ".warc.gz"))]
 
-    def read(self, partition: _File):
+    def read(self, partition: _File | None):
+        if partition is None:  # there are no files
+            return
         system, _ = opened(self.path)
         with system.open_input_file(partition.path) as file:
             source = _Gzip(file) if partition.path.endswith(".gz") else _Plain(file)
