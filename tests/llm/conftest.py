@@ -1,4 +1,5 @@
 import pytest
+from samples import ODD
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, score double, root string, bucket string"
 
@@ -13,9 +14,6 @@ def make(spark):
     return lambda texts, lang="en": spark.createDataFrame(rows(texts, lang), SCHEMA)
 
 
-ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one two three four five six"), (4, "one two three four five six"), (5, "x" * 3000), (6, "wörter, ünd ☃ 日本語 é"), (None, "nameless text with some words"), (7, "1234 " * 2000)]
-
-
 @pytest.fixture(scope="session")
 def odd(make):
     return make(ODD)

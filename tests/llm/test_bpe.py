@@ -1,5 +1,5 @@
 import public_tokenizers as P
-from conftest import ODD
+from samples import ODD
 
 from vicinal.llm import bpe
 

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import ODD
+from samples import ODD
 
 from vicinal.llm import decontaminate as d
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
-from conftest import ODD
+from samples import ODD, letters
 from pyspark.sql import functions as F
 
 from vicinal.llm import bpe, language, scoring, toxicity
@@ -20,7 +20,7 @@ def test_machine_learns_a_pair_that_no_weight_tells():
     texts, labels = [], []
     for _ in range(3000):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        texts.append(" ".join([*("insult" for _ in [0] if a), *("group" for _ in [0] if b), f"w{rng.randrange(500)}", f"v{rng.randrange(500)}"]))
+        texts.append(" ".join([*("insult" for _ in [0] if a), *("group" for _ in [0] if b), letters(rng.randrange(500)), letters(1000 + rng.randrange(500))]))
         labels.append(int(a and b))
     model = toxicity.FactorizationMachine.fit([toxicity._terms(t) for t in texts], np.array(labels))
     p = model.scores(["insult alone", "group alone", "insult group"], model.slots())

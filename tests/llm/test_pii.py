@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import ODD
+from samples import ODD
 
 from vicinal.llm import pii
 

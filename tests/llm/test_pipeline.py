@@ -1,11 +1,12 @@
 """The pipeline on a small fixture, stage by stage against plain rules."""
 
 import corpus_pipeline as c
+from samples import letters
 from pyspark.sql import functions as F
 
 
 def test_stages(spark, tmp_path):
-    rows = [(i, f"clean document number {i} " + " ".join(f"word{(i * 7 + k * k) % 97}" for k in range(60)), "en", "s", 0) for i in range(60)]
+    rows = [(i, f"clean document {letters(i)} " + " ".join(letters((i * 70 + k * k) % 997) for k in range(60)), "en", "s", 0) for i in range(60)]
     rows += [(i, t.replace("clean", "moron idiot filthy"), *r) for i, t, *r in [(100 + r[0], r[1] + f" z{r[0]}", *r[2:]) for r in rows[:40]]]
     item = " ".join(f"bench{k}" for k in range(20))
     rows += [(200, f"before it {item} after it", "en", "s", 0), (201, rows[0][1], "en", "s", 0), (202, "mail me at a.b@c.org now please", "en", "s", 0), (203, None, None, None, None)]

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import xxhash
-from conftest import ODD
+from samples import ODD
 
 from vicinal.llm import simhash
 from vicinal.llm.components import components

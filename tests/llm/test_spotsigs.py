@@ -1,6 +1,6 @@
 import hashlib
 
-from conftest import ODD
+from samples import ODD
 from pyspark.sql import functions as F
 
 from vicinal.llm import spotsigs

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
-from conftest import ODD
+from samples import ODD
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, content_length long, payload_digest string, refers_to string, page_id string, payload_length long, payload binary"
 # Header names of the WARC standard, and two of our own that begin with X-.
@@ -201,6 +201,10 @@ def _records(source, wanted, with_payload: bool) -> Iterator[tuple]:
 
 # -- data source ------------------------------------------------------------------------------
 _FIELDS = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+_ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (x.strip().split(" ") for x in SCHEMA.split(","))])
+#: Bytes of the records that the reader hands on at once.
+_BATCH = 4 << 20
 _TESTED = {"record_type", "record_id", "target_uri", "payload_digest", "refers_to", "content_length", "page_id"}
 
 
@@ -277,8 +281,15 @@ class _Reader(DataSourceReader):
         system, _ = opened(self.path)
         with system.open_input_file(partition.path) as file:
             source = _Gzip(file) if partition.path.endswith(".gz") else _Plain(file)
+            held, size = [], 0
             for row in _records(source, self._wanted, self.payload):
-                yield tuple(row[name] for name in _FIELDS)
+                held.append(row)
+                size += len(row["payload"] or b"") + 500
+                if size > _BATCH:
+                    yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
 
 @dataclass
@@ -287,7 +298,7 @@ class _Written(WriterCommitMessage):
     records: int
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Takes rows of ``SCHEMA``; content_length is that of the payload."""
 
     def __init__(self, path: str, compression: str):
@@ -295,10 +306,10 @@ class _Writer(DataSourceWriter):
             raise ValueError(f"unknown compression {compression!r}")
         self.path, self.gzip = path, compression == "gzip"
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         system, root = opened(self.path)
         name, n, out = f"part-{uuid.uuid4().hex}.warc{'.gz' if self.gzip else ''}", 0, None
-        for row in rows:
+        for row in (row for batch in batches for row in batch.to_pylist()):
             if out is None:
                 system.create_dir(root, recursive=True)
                 out = system.open_output_stream(f"{root}/{name}", compression=None)
