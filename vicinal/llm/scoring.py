@@ -95,7 +95,8 @@ def losses(docs: DataFrame, target_ids: DataFrame, rank_file: str, pattern: str,
     """The tokenized documents, and ``key, background, target``: minus log probabilities of all bigrams."""
     tokens = stored(_tokenized(rows_of(docs, id_column, text_column), rank_file, pattern), "lm-tokens")
     chosen = target_ids.select(target_ids[id_column].alias("chosen")).filter("chosen is not null").distinct()
-    marked = tokens.join(chosen, F.col("doc_id") == F.col("chosen"), "left").select("ids", F.col("chosen").isNotNull().alias("target"))
+    # the same plan at every size: without the hint a small table of ids is broadcast, a large one is not
+    marked = tokens.join(chosen.hint("merge"), F.col("doc_id") == F.col("chosen"), "left").select("ids", F.col("chosen").isNotNull().alias("target"))
     counts = _counted(marked, vocabulary).groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counts = counts.select("key", F.shiftright("key", 16).alias("v"), F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("w"), "n", "t")
     counts = stored(counts, "lm-counts")
