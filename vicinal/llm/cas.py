@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from vicinal.llm.common import map_arrow, rows_of, slices
+from vicinal.llm.common import ByteHasher, map_arrow, rows_of, runs, slices
 from vicinal.sources import stored
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, np.uint32((1 << 9) - 1)
@@ -119,20 +119,6 @@ def _byte_letters() -> list[str]:
     return out
 
 
-# Odd numbers, so that they have inverses modulo 2**64.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a number and of its inverse, modulo 2**64."""
-    out = []
-    for x in (base, pow(base, -1, 1 << 64)):
-        powers = np.full(n, x, dtype=np.uint64)
-        powers[0] = 1
-        out.append(np.cumprod(powers))
-    return out[0], out[1]
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library; words met before are looked up.
 
@@ -152,7 +138,7 @@ class Encoder:
         self._bare.pre_tokenizer = WhitespaceSplit()
         self._feed = self._letters[10]
         (self._feed_id,) = self._bare.encode(self._feed, add_special_tokens=False).ids
-        self._powers = [_powers(base, 1 << 16) for base in _BASES]
+        self._hashed = ByteHasher(2)
         self._forget()
 
     def _forget(self) -> None:
@@ -175,26 +161,11 @@ class Encoder:
         at = np.flatnonzero(ids == self._feed_id)
         return np.delete(ids, at).astype(self.kind), np.diff(at, prepend=-1) - 1
 
-    def _hashed(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Two 64-bit hashes of every word: polynomials of its bytes, from running sums."""
-        while len(self._powers[0][0]) < len(raw):
-            self._powers = [_powers(base, 2 * len(raw)) for base in _BASES]
-        out = np.empty((2, len(starts)), dtype=np.uint64)
-        for i, (power, inverse) in enumerate(self._powers):
-            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum((raw + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-            value = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
-            value ^= value >> np.uint64(29)
-            out[i] = value * np.uint64(0xBF58476D1CE4E5B9)
-        return out
-
     def _latin(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         parts = [t.encode() for t in texts]
         joined = b" ".join(parts) + b" "
         raw = np.frombuffer(joined, dtype=np.uint8)
-        gap = raw <= 32  # of these bytes the texts hold white space only
-        starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-        ends = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
+        starts, ends = runs(raw > 32)  # the smaller bytes are white space in these texts
         hashes = self._hashed(raw, starts, ends)
         distinct, first, of = np.unique(hashes[0], return_index=True, return_inverse=True)
         second = hashes[1][first]

@@ -55,3 +55,50 @@ class WordCache(dict):
             self.clear()
         value = self[word] = self.function(word)
         return value
+
+
+class ByteHasher:
+    """64-bit hashes of many words of a byte array: polynomials of their bytes, from running sums."""
+
+    # Odd numbers, so that they have inverses modulo 2**64.
+    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    #: Bytes that one running sum covers, unless a word is longer.
+    BLOCK = 4 << 20
+
+    def __init__(self, kinds: int = 1):
+        self._tables = [self._powers(base, 1 << 16) for base in self.BASES[:kinds]]
+
+    @staticmethod
+    def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            powers = np.full(n, x, dtype=np.uint64)
+            powers[0] = 1
+            out.append(np.cumprod(powers))
+        return out[0], out[1]
+
+    def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(kind, word) hashes of the words from ``starts`` to ``ends``, which are in order."""
+        out = np.empty((len(self._tables), len(starts)), dtype=np.uint64)
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + self.BLOCK)))
+            low, high = int(starts[first]), int(ends[last - 1])
+            if len(self._tables[0][0]) < high - low:
+                self._tables = [self._powers(base, 2 * (high - low)) for base, _ in zip(self.BASES, self._tables, strict=False)]
+            block, a, b = raw[low:high] + np.uint64(1), starts[first:last] - low, ends[first:last] - low
+            for i, (power, inverse) in enumerate(self._tables):
+                sums = np.zeros(high - low + 1, dtype=np.uint64)
+                np.cumsum(block * power[: high - low], out=sums[1:])
+                value = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
+                value = (value ^ value >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                value = (value ^ value >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                out[i, first:last] = value ^ value >> np.uint64(31)
+            first = last
+        return out
+
+
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of true values start and end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8)))
+    return edges[::2], edges[1::2]

@@ -25,26 +25,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vicinal.llm.common import WordCache, rows_of, slices
+from vicinal.llm.common import ByteHasher, rows_of, runs, slices
 
 LEAST, LEAST_WORDS, SAMPLED, REPEATS, GAP = 0.8, 5, 4, 128, 3
 BLOCK_BYTES = 4 << 20
-_TOKEN = re.compile(r"[^\W_]+")
 _BITS = 17
 
 
-def word_list(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+# Bytes that words are made of: ASCII letters and digits, and all of other characters.
+_WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_NO_WORD = re.compile(r"[^\x00-\x7f\w]+")
+
+
+class Numberer:
+    """Numbers of the words of texts: hashes of their lower-cased letters and digits; 0 is kept for the end of a text."""
+
+    def __init__(self):
+        self._hash = ByteHasher()
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        lower = [(t or "").lower() for t in texts]
+        parts = [(t if t.isascii() else _NO_WORD.sub(" ", t)).encode("utf-8", "surrogatepass") for t in lower]
+        raw = np.frombuffer(b" ".join(parts), dtype=np.uint8)
+        starts, ends = runs(_WORD_BYTES[raw])
+        ids = np.maximum(self._hash(raw, starts, ends)[0], np.uint64(1))
+        return np.split(ids, np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts])[:-1]))
 
 
 def word_id(word: str) -> int:
-    """A word's number; 0 is kept for the end of a text."""
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+    """The number of one word."""
+    return int(Numberer()([word])[0][0])
 
 
 def edit_allowance(n: int, least: float = LEAST) -> int:
@@ -144,7 +158,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, str]], least: float = LEAST):
         self.names = [name for name, _ in items]
-        self.words = [[word_id(w) for w in word_list(text)] for _, text in items]
+        self.words = [ids.tolist() for ids in Numberer()([text for _, text in items])]
         self.sets = [set(words) for words in self.words]
         self.least = least
         members: dict[SizeClass, list[int]] = {}
@@ -238,11 +252,6 @@ def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, most: in
         yield block
 
 
-def _numbers(texts: list[str | None], numbers: WordCache) -> list[np.ndarray]:
-    split = (word_list(t or "") for t in texts)
-    return [np.fromiter(map(numbers.__getitem__, w), dtype=np.uint64, count=len(w)) for w in split]
-
-
 def keep_clean(
     docs: DataFrame, benchmark: DataFrame, least: float = LEAST, *, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text"
 ) -> DataFrame:
@@ -252,11 +261,11 @@ def keep_clean(
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            index, numbers = ItemIndex(shared.value, least), WordCache(word_id)
+            index, numbers = ItemIndex(shared.value, least), Numberer()
             for batch in batches:
                 for part in slices(batch, text_column, 2 << 20) if batch.num_rows else ():
                     keep = np.ones(part.num_rows, dtype=bool)
-                    keep[[i for i, *_ in index.search(_numbers(part.column(text_column).to_pylist(), numbers))]] = False
+                    keep[[i for i, *_ in index.search(numbers(part.column(text_column).to_pylist()))]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -284,10 +293,10 @@ def leaks(
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            index, numbers = ItemIndex(shared.value, least), WordCache(word_id)
+            index, numbers = ItemIndex(shared.value, least), Numberer()
             for batch in batches:
                 for part in slices(batch, "text", 2 << 20) if batch.num_rows else ():
-                    found = index.search(_numbers(part.column("text").to_pylist(), numbers))
+                    found = index.search(numbers(part.column("text").to_pylist()))
                     names = part.column("doc_id").to_pylist() if found else []
                     columns = list(zip(*found, strict=True)) if found else [[]] * 5
                     yield pa.RecordBatch.from_arrays(
