@@ -91,6 +91,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lm_scoring, op2_spotsigs, op3_decontamination, op4_simhash, op5_byte_bpe, op6_pii, op7_toxicity, op8_language, op9_token_store, op10_warc)}
 
 
+#: Twenty bits of the digest at a time give four letters of base32.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h),
+s AS (SELECT h, first, list_transform(range(8), lambda g: ('0x' || substr(h, 5 * g::INT + 1, 5))::INT) AS v FROM f),
+b AS (
+  SELECT h, first, array_to_string(list_transform(v, lambda x:
+    substr(a, (x >> 15) + 1, 1) || substr(a, ((x >> 10) & 31) + 1, 1) || substr(a, ((x >> 5) & 31) + 1, 1) || substr(a, (x & 31) + 1, 1)), '') AS payload_digest
+  FROM s, (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a)
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN b USING (h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for those of the queries that it can express."""
-    return {}
+    """SQL for those of the queries that it can express: models, walks, XXH64 and tokenizers are beyond it."""
+    return {"op10_warc": WARC_SQL}
