@@ -14,33 +14,79 @@ empty one; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import WORD, map_arrow, rows_of, slices
+from vicinal.llm.common import ByteHasher, map_arrow, rows_of, runs, slices
 
-SAMPLE_DOCS, SEGMENT, SEGMENTS, BUCKETS = 4_000, 40, 6, 1 << 18
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+SAMPLE_DOCS, SEGMENT, SEGMENTS, BUCKETS, AFFIX = 4_000, 40, 6, 1 << 18, 4
 #: Words of a batch of sequences that forward-backward takes at once.
 GROUP_WORDS = 400_000
 UNKNOWN = "und"
 
 
-def features(word: str, lexicon: dict[str, tuple[str, ...]]) -> list[int]:
-    """Hashed features of a lower-cased word."""
-    framed = f"^{word}$"
-    n = min(4, len(word))
-    names = ["1", "w" + word, *("p" + word[:k] for k in range(1, n + 1)), *("s" + word[-k:] for k in range(1, n + 1))]
-    names += [framed[i : i + k] for k in (2, 3) for i in range(len(framed) - k + 1)]
-    names += ["L" + lang for lang in lexicon.get(word, ())]
-    crc, mask = zlib.crc32, BUCKETS - 1
-    return [crc(x.encode("utf-8", "surrogatepass")) & mask for x in names]
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+class Words:
+    """The words of some texts: runs of letters, lower-cased; ``per_text`` counts them."""
+
+    def __init__(self, texts: list[str]):
+        lower = [t.lower() for t in texts]
+        self.text = "\n".join(lower)
+        self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.starts, self.ends = runs(_letters()[self.codes])
+        bounds = np.searchsorted(self.starts, np.cumsum([len(t) + 1 for t in lower]))
+        self.per_text = np.diff(bounds, prepend=0)
+
+    def listed(self) -> list[list[str]]:
+        flat = [self.text[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+        ends = np.cumsum(self.per_text).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _bucket(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(46)).astype(np.int64)
+
+
+def features(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words, and the number of the word that each belongs to."""
+    sizes = ends - starts
+    n, base = len(sizes), np.cumsum(sizes + 2) - (sizes + 2)
+    owner = np.repeat(np.arange(n), sizes + 2)
+    framed = np.zeros(len(owner), dtype=np.uint64)  # every word between a 1 and a 2
+    framed[base], framed[base + sizes + 1] = 1, 2
+    inner = np.repeat(base + 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    framed[inner] = codes[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+    two = framed[:-1] * np.uint64(1 << 21) + framed[1:]
+    three = two[:-1] * np.uint64(1 << 21) + framed[2:]
+    in_two, in_three = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
+    flat = [_bucket(two[in_two], 1), _bucket(three[in_three], 2), _bucket(hashes, 3), _bucket(np.zeros(n, dtype=np.uint64), 4)]
+    owners = [owner[:-1][in_two], owner[:-2][in_three], np.arange(n), np.arange(n)]
+    before, after = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    for k in range(1, AFFIX + 1):
+        long = np.flatnonzero(sizes >= k)
+        before[long] = before[long] * np.uint64(0xC2B2AE3D27D4EB4F) + framed[base[long] + k]
+        after[long] = after[long] * np.uint64(0xC2B2AE3D27D4EB4F) + framed[base[long] + sizes[long] + 1 - k]
+        flat += [_bucket(before[long], 4 + k), _bucket(after[long], 8 + k)]
+        owners += [long, long]
+    known, of = lexicon
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        word, label = np.nonzero(of[at] & (known[at] == hashes)[:, None])
+        flat.append(_bucket(label.astype(np.uint64), 16))
+        owners.append(word)
+    return np.concatenate(flat), np.concatenate(owners)
 
 
 def forward_backward(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,51 +149,53 @@ def marginals(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray)
 
 @dataclass(frozen=True)
 class Crf:
-    """Labels, hashed feature weights, transition weights and the lexicons."""
+    """Labels, (label, bucket) feature weights, transition weights, and the lexicons: sorted hashes and the labels of each."""
 
     labels: tuple[str, ...]
     weights: np.ndarray
     transition: np.ndarray
-    lexicon: dict[str, tuple[str, ...]]
+    lexicon: tuple[np.ndarray, np.ndarray]
 
     @staticmethod
     def fit(segments: list[tuple[str, list[str]]], rounds: int = 4, sequences: int = 6_000, seed: int = 0) -> Crf:
         """Learn from word lists of known language, spliced into sequences of one to three languages."""
+        segments = [(lang, words) for lang, words in segments if words]
         labels = tuple(sorted({lang for lang, _ in segments}))
-        if not labels:
-            return Crf((), np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)), {})
-        counts = {lang: Counter() for lang in labels}
+        k = len(labels)
+        if not k:
+            return Crf((), np.zeros((0, BUCKETS), np.float32), np.zeros((0, 0)), (np.zeros(0, np.uint64), np.zeros((0, 0), bool)))
+        vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in segments for w in words}))}
+        counts = np.zeros((len(vocabulary), k))
+        by: list[list[np.ndarray]] = [[] for _ in labels]
         for lang, words in segments:
-            counts[lang].update(words)
-        totals = Counter()
-        for c in counts.values():
-            totals.update(c)
-        lexicon = {w: own for w, n in totals.items() if n >= 5 and (own := tuple(lang for lang in labels if counts[lang][w] >= 0.2 * n))}
+            label = labels.index(lang)
+            by[label].append(np.array([vocabulary[w] for w in words]))
+            np.add.at(counts, (by[label][-1], label), 1)
+        total = counts.sum(1)
+        all_words = Words(list(vocabulary))
+        hashes = ByteHasher()(all_words.codes, all_words.starts, all_words.ends)[0]
+        common = np.flatnonzero(total >= 5)
+        common = common[np.argsort(hashes[common])]
+        lexicon = hashes[common], counts[common] >= 0.2 * total[common, None]
+        flat, owner = features(all_words.codes, all_words.starts, all_words.ends, hashes, lexicon)
+        order = np.argsort(owner, kind="stable")
+        flat, sizes = flat[order], np.bincount(owner, minlength=len(vocabulary))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
         rng = np.random.default_rng(seed)
-        by = [[words for lang, words in segments if lang == label and words] for label in labels]
-        usable = [i for i, x in enumerate(by) if x]
-        chosen: list[list[tuple[str, int]]] = []
-        for _ in range(sequences if usable else 0):
-            line: list[tuple[str, int]] = []
-            mixed = rng.random() < 0.5
-            label = usable[rng.integers(len(usable))]
-            while len(line) < SEGMENT:
+        ids, gold = np.zeros((sequences, SEGMENT), dtype=np.int64), np.zeros((sequences, SEGMENT), dtype=np.int64)
+        for row in range(sequences):
+            mixed, label, at = rng.random() < 0.5, rng.integers(k), 0
+            while at < SEGMENT:
                 words = by[label][rng.integers(len(by[label]))]
                 take = int(rng.integers(4, 20)) if mixed else SEGMENT
                 start = int(rng.integers(max(1, len(words) - take + 1)))
-                line += [(w, label) for w in words[start : start + take]]
+                some = words[start : start + min(take, SEGMENT - at)]
+                ids[row, at : at + len(some)], gold[row, at : at + len(some)] = some, label
+                at += len(some)
                 if mixed:
-                    label = usable[rng.integers(len(usable))]
-            chosen.append(line[:SEGMENT])
-        vocabulary = {w: i for i, w in enumerate(sorted({w for line in chosen for w, _ in line}))}
-        listed = [features(w, lexicon) for w in vocabulary]
-        sizes = np.array([len(x) for x in listed])
-        flat, starts = np.concatenate([np.array(x) for x in listed]), np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.array([[vocabulary[w] for w, _ in line] for line in chosen])
-        gold = np.array([[y for _, y in line] for line in chosen])
-        k = len(labels)
-        weights, transition = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k))
-        squares, moves = np.full((BUCKETS, k), 1e-6, np.float32), np.full((k, k), 1e-6)
+                    label = rng.integers(k)
+        weights, transition = np.zeros((k, BUCKETS), np.float32), np.zeros((k, k))
+        squares, moves = np.full((k, BUCKETS), 1e-6, np.float32), np.full((k, k), 1e-6)
         lengths, one = np.full(200, SEGMENT), np.eye(k)
         for _ in range(rounds):
             order = rng.permutation(len(ids))
@@ -155,14 +203,15 @@ class Crf:
                 some = order[begin : begin + 200]
                 words, at = np.unique(ids[some], return_inverse=True)
                 at = at.reshape(len(some), SEGMENT)
-                span = np.concatenate([flat[starts[w] : starts[w + 1]] for w in words])
-                cuts = np.concatenate([[0], np.cumsum(sizes[words])[:-1]])
-                emission = np.add.reduceat(weights[span], cuts, axis=0)[at].transpose(1, 0, 2).astype(np.float64)
-                gamma, pairs = forward_backward(emission, transition, lengths[: len(some)])
+                own = np.repeat(np.arange(len(words)), sizes[words])
+                span = flat[np.repeat(starts[words] - (np.cumsum(sizes[words]) - sizes[words]), sizes[words]) + np.arange(len(own))]
+                scores = _sums(weights, span, own, len(words))
+                gamma, pairs = forward_backward(scores[at].transpose(1, 0, 2), transition, lengths[: len(some)])
                 error = gamma.transpose(1, 0, 2) - one[gold[some]]
-                per_word = np.stack([np.bincount(at.ravel(), weights=error[..., j].ravel(), minlength=len(words)) for j in range(k)], 1)
-                spread = np.repeat(per_word, sizes[words], axis=0) / len(some)
-                slope = np.stack([np.bincount(span, weights=spread[:, j], minlength=BUCKETS) for j in range(k)], 1).astype(np.float32)
+                slope = np.empty_like(weights)
+                for j in range(k):
+                    per_word = np.bincount(at.ravel(), weights=error[..., j].ravel(), minlength=len(words)) / len(some)
+                    slope[j] = np.bincount(span, weights=per_word[own], minlength=BUCKETS)
                 slope += 1e-5 * weights
                 squares += slope**2
                 weights -= 0.1 * slope / np.sqrt(squares)
@@ -174,62 +223,38 @@ class Crf:
         return Crf(labels, weights, transition, lexicon)
 
 
+def _sums(weights: np.ndarray, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(word, label) sums of the weights of the words' features."""
+    return np.stack([np.bincount(owner, weights=w[flat], minlength=n) for w in weights], 1)
+
+
 class Tagger:
-    """A model with the word scores that a process has worked out; the table is emptied when full."""
+    """A model at work: each distinct word of some texts is scored once."""
 
     def __init__(self, model: Crf):
-        self.model, self._at, self._next = model, {}, 0
-        self._scores = np.zeros((1024, len(model.labels)), np.float32)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self._at) + len(words) > CACHE_WORDS:
-            self._at.clear()
-            self._next = 0
-        fresh = [w for w in words if w not in self._at]
-        real = [w for w in fresh if any(map(str.isalpha, w))]
-        self._long = [w for w in fresh if len(w) > CACHE_CHARS]
-        self._at.update(dict.fromkeys(fresh, -1))
-        if not real:
-            return
-        listed = [features(w, self.model.lexicon) for w in real]
-        cuts = np.concatenate([[0], np.cumsum([len(x) for x in listed])[:-1]])
-        found = np.add.reduceat(self.model.weights[np.fromiter((f for x in listed for f in x), dtype=np.int64)], cuts, axis=0)
-        first = self._next
-        while first + len(real) > len(self._scores):
-            self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-        self._scores[first : first + len(real)] = found
-        self._at.update(zip(real, range(first, first + len(real)), strict=True))
-        self._next = first + len(real)
-
-    def words(self, text: str) -> list[str]:
-        return WORD.findall(text.lower())
-
-    def places(self, texts: list[str]) -> list[np.ndarray]:
-        """For every text, the rows of its words in the score table; what holds no letter is left out."""
-        split = [self.words(t) for t in texts]
-        self._learn(list(set().union(*split)))
-        get = self._at.__getitem__
-        found = [np.fromiter(map(get, w), dtype=np.int64, count=len(w)) for w in split]
-        for w in self._long:
-            del self._at[w]
-        return [x[x >= 0] for x in found]
-
-    def tag(self, texts: list[str]) -> list[np.ndarray]:
+        self.model, self._hash = model, ByteHasher()
+
+    def tag(self, words: Words) -> list[np.ndarray]:
         """(word, label) probabilities of every text."""
-        k = len(self.model.labels)
-        if not k:
-            return [np.zeros((0, 0))] * len(texts)
-        placed = self.places(texts)
-        out: list[np.ndarray] = [np.zeros((0, k))] * len(texts)
-        order = sorted((i for i, p in enumerate(placed) if len(p)), key=lambda i: -len(placed[i]))
+        k, ends = len(self.model.labels), np.cumsum(words.per_text)
+        out: list[np.ndarray] = [np.zeros((n, k)) for n in words.per_text.tolist()]
+        if not k or not len(words.starts):
+            return out
+        hashes = self._hash(words.codes, words.starts, words.ends)[0]
+        distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        flat, owner = features(words.codes, words.starts[first], words.ends[first], distinct, self.model.lexicon)
+        scores = _sums(self.model.weights, flat, owner, len(distinct)).astype(np.float32)
+        order = np.argsort(-words.per_text, kind="stable")
+        order = order[words.per_text[order] > 0].tolist()
         while order:
-            longest = len(placed[order[0]])
+            longest = int(words.per_text[order[0]])
             n = max(1, GROUP_WORDS // longest)
             group, order = order[:n], order[n:]
-            lengths = np.array([len(placed[i]) for i in group])
+            lengths = words.per_text[group]
             emission = np.zeros((longest, len(group), k))
-            for j, i in enumerate(group):
-                emission[: lengths[j], j] = self._scores[placed[i]]
+            step, text = np.arange(longest)[:, None] < lengths, np.array(group)
+            at = (ends[text] - lengths)[None, :] + np.arange(longest)[:, None]
+            emission[step] = scores[of[at[step]]]
             gamma = marginals(emission, self.model.transition, lengths)
             for j, i in enumerate(group):
                 out[i] = gamma[: lengths[j], j]
@@ -247,7 +272,7 @@ def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
         for part in slices(batch, "text"):
             langs, words = [], []
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found = [w for w in WORD.findall(text.lower()) if len(w) <= CACHE_CHARS]
+                found = Words([text]).listed()[0]
                 step = max(SEGMENT, len(found) // SEGMENTS)
                 for start in range(0, min(len(found), step * SEGMENTS), step):
                     langs.append(lang)
@@ -268,7 +293,7 @@ def predict(docs: DataFrame, model: Crf, *, id_column: str = "doc_id", text_colu
         labels = np.array([*shared.value.labels, UNKNOWN], dtype=object)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20) if batch.num_rows else ():
-                found = [g.mean(0) if len(g) and len(labels) > 1 else None for g in tagger.tag(part.column("text").to_pylist())]
+                found = [g.mean(0) if len(g) and len(labels) > 1 else None for g in tagger.tag(Words(part.column("text").to_pylist()))]
                 langs = [labels[-1] if g is None else labels[int(g.argmax())] for g in found]
                 scores = [0.0 if g is None else float(min(1.0, g.max())) for g in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
@@ -285,9 +310,9 @@ def tag_words(docs: DataFrame, model: Crf, *, id_column: str = "doc_id", text_co
         tagger = Tagger(shared.value)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20) if batch.num_rows else ():
-                texts = part.column("text").to_pylist()
-                words = [[w for w in tagger.words(t) if any(map(str.isalpha, w))] for t in texts]
-                tags = [[shared.value.labels[i] for i in g.argmax(1)] if g.shape[1] else [UNKNOWN] * len(w) for g, w in zip(tagger.tag(texts), words, strict=True)]
+                found = Words(part.column("text").to_pylist())
+                words = found.listed()
+                tags = [[shared.value.labels[i] for i in g.argmax(1)] if g.shape[1] else [UNKNOWN] * len(w) for g, w in zip(tagger.tag(found), words, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.string()))], names=["doc_id", "words", "langs"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, words array<string>, langs array<string>")
