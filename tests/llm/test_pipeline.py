@@ -27,4 +27,6 @@ def test_stages(spark, tmp_path):
             assert docs.filter("doc_id = 202").first().text == "mail me at [EMAIL] now please"
             assert docs.filter("doc_id = 5").first().text == rows[5][1]
             assert docs.filter(F.col("n_chars") != F.length("text")).count() == 0
+    for _, stage in c.STAGES:
+        assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0), str(tmp_path)).count() == 0
     assert c.run(spark, str(tmp_path)).count() == len(kept)

@@ -15,9 +15,21 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Bytes of an Arrow batch; several are held at a time, by the worker and by the JVM.
+BATCH_BYTES = 16 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The table itself; its session hands batches of at most ``BATCH_BYTES`` to Python from now on."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d*", df.sparkSession.conf.get(name)).group() or 0) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df
+
+
 def rows_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``doc_id, text`` of a table, whatever its other columns are called; a null text is empty."""
-    return docs.select(docs[id_column].alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
+    return bounded(docs).select(docs[id_column].alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -46,7 +58,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
 class WordCache(dict):
     """A map from words to what a function makes of them, emptied when it is full."""
 
-    def __init__(self, function: Callable[[str], object], most: int = 400_000):
+    def __init__(self, function: Callable[[str], object], most: int = 100_000):
         super().__init__()
         self.function, self.most = function, most
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vicinal.llm.common import ByteHasher, rows_of, runs, slices
+from vicinal.llm.common import ByteHasher, bounded, rows_of, runs, slices
 
 LEAST, LEAST_WORDS, SAMPLED, REPEATS, GAP = 0.8, 5, 4, 128, 3
 BLOCK_BYTES = 4 << 20
@@ -268,7 +268,7 @@ def keep_clean(
                     keep[[i for i, *_ in index.search(numbers(part.column(text_column).to_pylist()))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs
 
 

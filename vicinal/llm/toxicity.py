@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import WORD, WordCache, map_arrow, rows_of, slices
+from vicinal.llm.common import WORD, WordCache, bounded, map_arrow, rows_of, slices
 
 SAMPLE_ROWS, MOST_TERMS, FACTORS, ROUNDS = 20_000, 2_000, 8, 300
 #: Least z score of a term's rate among positive against negative rows.
@@ -153,4 +153,4 @@ def keep_clean(docs: DataFrame, model: FactorizationMachine, *, text_column: str
             for part in slices(batch, text_column) if batch.num_rows else ():
                 yield part.filter(pa.array(own.scores([t or "" for t in part.column(text_column).to_pylist()], slots) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
