@@ -14,6 +14,8 @@ def test_odd_rows_come_back(odd, none):
     got = sorted(((r.doc_id or 0, bytes(r.decoded)) for r in round_trip(odd).collect()))
     assert got == sorted((i or 0, (t or "").encode()) for i, t in ODD)
     assert round_trip(none).count() == 0
+    at_once = sorted(((r.doc_id or 0, bytes(r.decoded)) for r in bpe.round_trip(odd, RANKS, P.PATTERN).collect()))
+    assert at_once == got and bpe.round_trip(none, RANKS, P.PATTERN).count() == 0
 
 
 def test_pieces_have_the_ids_of_the_whole(monkeypatch):

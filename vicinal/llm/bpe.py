@@ -95,6 +95,23 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The table that ``decode`` gives of ``encode``, in one pass: ids are decoded where they are made."""
+    rows = rows_of(docs, id_column, text_column)
+
+    def run(batch: pa.RecordBatch):
+        coder = codec(rank_file, pattern)
+        for part in slices(batch, "text", 4 << 20):
+            ids = [coder.encode(text) for text in part.column("text").to_pylist()]
+            packed = pa.array([x.tobytes() for x in ids], pa.binary())
+            decoded = pa.array([coder.decode(np.frombuffer(x.as_py(), dtype="<u4")) for x in packed], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), packed, decoded], names=["doc_id", "n_tokens", "ids", "decoded"]
+            )
+
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the table of ``decode``."""
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

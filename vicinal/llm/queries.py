@@ -50,8 +50,7 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, folder, "documents"), RANKS, PATTERN)
-    return bpe.digests(bpe.decode(encoded, RANKS, PATTERN))
+    return bpe.digests(bpe.round_trip(table(spark, folder, "documents"), RANKS, PATTERN))
 
 
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
