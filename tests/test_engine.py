@@ -77,6 +77,9 @@ def test_errors(spark, tmp_path):
         index.alter(dims=4)
     index.alter(efsearch=8)
     assert AnnIndex.load(spark, index.path).options.efsearch == 8
+    index.drop()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|no index"):
+        AnnIndex.load(spark, index.path)
 
 
 def test_zero_and_empty_vectors(spark):

@@ -164,6 +164,11 @@ class AnnIndex:
         fresh._append(live, "row_id", "embedding")
         self._meta = fresh._meta
 
+    def drop(self) -> None:
+        """Delete the stored index."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
     # -- reading ------------------------------------------------------------------------
     def _read_nodes(self, generations: Sequence[int]) -> DataFrame:
         if not generations:
@@ -214,14 +219,12 @@ class AnnIndex:
         if not isinstance(queries, DataFrame):
             queries = self.spark.createDataFrame([(0, [float(x) for x in queries])], "query_id long, query array<float>")
             query_id, query_vector = "query_id", "query"
-        blocks = list(query_blocks(queries, query_id, query_vector))
-        for _, vectors in blocks:
-            if vectors.shape[1] != self.options.dims:
-                raise ValueError(WRONG_DIMENSIONS % (vectors.shape[1], self.options.dims))
-        n = sum(len(ids) for ids, _ in blocks)
         while True:
-            found = self._empty().select("query_id", "row_id", "distance")
-            for ids, vectors in blocks:
+            n, found = 0, self._empty().select("query_id", "row_id", "distance")
+            for ids, vectors in query_blocks(queries, query_id, query_vector):
+                if vectors.shape[1] != self.options.dims:
+                    raise ValueError(WRONG_DIMENSIONS % (vectors.shape[1], self.options.dims))
+                n += len(ids)
                 found = found.unionByName(self._beam(ids, vectors, ef))
             if allowed is not None:
                 found = found.join(allowed.select(F.col(allowed_id).cast("long").alias("row_id")).distinct(), "row_id", "left_semi")
