@@ -10,6 +10,7 @@ of their own; an empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -30,21 +31,40 @@ _GLUE = "\x01"
 RANGE_ROWS, MOST_RANGES = 500, 20_000
 
 
+def _pattern(words: tuple[str, ...]) -> str:
+    """A pattern for the words that shares their beginnings."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [re.escape(letter) + written(below) for letter, below in sorted(node.items()) if letter]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)}){'?' if '' in node else ''}"
+
+    return written(tree)
+
+
+def _once(value: Column, use) -> Column:
+    """An expression of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
     """The set of signatures of a text, as ``array<long>``."""
-    names = "|".join(sorted(anchors, key=len, reverse=True))
-    glued = F.regexp_replace(F.lower(text), rf"(?<![^\s\p{{Punct}}])({names}){_BREAK}", f"$1{_GLUE}")
-    words = F.split(glued, _BREAK)
-    chained = F.zip_with(
-        words,
-        F.slice(words, 2, 1 << 30),
-        lambda x, y: F.when(
-            F.contains(x, F.lit(_GLUE)) & y.isNotNull() & (y != "") & ~F.endswith(x, F.lit(_GLUE)),
-            F.xxhash64(x, F.substring_index(y, _GLUE, -1)),
-        ),
-    )
+    glued = F.regexp_replace(F.lower(text), rf"(?<![^\s\p{{Punct}}])({_pattern(anchors)}){_BREAK}", f"$1{_GLUE}")
+
+    def chain(x: Column, y: Column) -> Column:
+        spot = F.contains(x, F.lit(_GLUE)) & ~F.endswith(x, F.lit(_GLUE)) & y.isNotNull() & (y != "")
+        return F.when(spot, F.xxhash64(x, F.substring_index(y, _GLUE, -1)))
+
+    chained = _once(F.split(glued, _BREAK), lambda words: F.zip_with(words, F.slice(words, 2, 1 << 30), chain))
     found = F.array_distinct(F.array_compact(chained))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(text)))
+    return _once(found, lambda sigs: F.when(F.size(sigs) > 0, sigs).otherwise(F.array(F.xxhash64(text))))
 
 
 def fingerprint(sigs: Column) -> Column:
