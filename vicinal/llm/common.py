@@ -75,7 +75,7 @@ class ByteHasher:
     # Odd numbers, so that they have inverses modulo 2**64.
     BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
     #: Bytes that one running sum covers, unless a word is longer.
-    BLOCK = 4 << 20
+    BLOCK = 1 << 19
 
     def __init__(self, kinds: int = 1):
         self._tables = [self._powers(base, 1 << 16) for base in self.BASES[:kinds]]
