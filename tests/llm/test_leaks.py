@@ -50,6 +50,25 @@ def test_recall_against_brute_force_and_no_false_finds():
     assert due > 400 and hits >= 0.95 * due
 
 
+def test_every_size_is_found_at_the_full_edit_limit():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    number = {w: d.word_id(w) for w in words}
+    for n in (5, 6, 7, 9, 10, 12, 14, 15, 18, 21, 22, 25, 32, 33, 48, 80, 120):
+        items = [(i, " ".join(rng.choices(words, k=n))) for i in range(40)]
+        texts = []
+        for _, text in items:
+            edited = text.split()
+            for _ in range(d.edit_allowance(n)):
+                at, how = rng.randrange(len(edited)), rng.choice("sid")
+                edited[at : at + (how != "i")] = [] if how == "d" else [rng.choice(words)]
+            around = [rng.choices(words, k=rng.choice((0, 40))) for _ in range(2)]
+            texts.append(np.array([number[w] for w in around[0] + edited + around[1]], dtype=np.uint64))
+        texts[0] = texts[0][:0]
+        found = {(text, item) for text, item, *_ in d.ItemIndex(items).search(texts)}
+        assert found == {(i, i) for i in range(1, 40)}, n
+
+
 def leaks(docs, items, spark):
     bench = spark.createDataFrame([(i, t, "e") for i, t in items], "item_id int, text string, doc_id string")
     return sorted((r.doc_id or 0, r.item_id, r.distance) for r in d.leaks(docs, bench).collect())

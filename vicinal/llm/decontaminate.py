@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH, pieces of items, exact edit verification.
 
 Texts are sequences of lower-cased words. The CGK walk reads a sequence with random steps
 that depend on the word read and the step, the same for all sequences: it repeats a word or
@@ -6,9 +6,13 @@ goes on. Sequences a few edits apart give walks that agree in most places. Windo
 documents are walked as far as a benchmark item of their size class reaches; ``REPEATS`` keys
 of ``SAMPLED`` walk places each are looked up among the keys of the items. A window of a
 document begins at every n-th word only: the items are walked from every word that leaves a
-window, so one of their windows meets it. A match of keys is a candidate; an item counts as
-found where its edit distance, in words, to a part of the document is at most
-``1 - least`` of its length. Verification is exact, so clean documents stay clean.
+window, so one of their windows meets it. Short walks have too few places for keys that differ,
+and no walk meets every edited item: items of fewer than ``WALKED_WORDS`` words are not walked,
+and every item is also cut into one piece more than it may have edits. One piece at least is
+whole in any edited copy, so looking up the pieces misses no item. A match of keys or of a piece
+is a candidate; an item counts as found where its edit distance, in words, to a part of the
+document is at most ``1 - least`` of its length. Verification is exact, so clean documents stay
+clean.
 
 Items go to the executors in blocks of ``BLOCK_BYTES`` of text. Items of fewer than
 ``LEAST_WORDS`` words are too common to tell anything and are not looked for. Null and empty
@@ -33,6 +37,8 @@ from vicinal.llm.common import ByteHasher, bounded, rows_of, runs, slices
 
 LEAST, LEAST_WORDS, SAMPLED, REPEATS, GAP = 0.8, 5, 4, 128, 3
 BLOCK_BYTES = 4 << 20
+#: Items of fewer words than this have no walks, only pieces.
+WALKED_WORDS = 22
 _BITS = 17
 
 
@@ -153,8 +159,23 @@ def _keys(walked: np.ndarray, places: np.ndarray, factors: np.ndarray) -> np.nda
     return key * np.uint32(2654435761)
 
 
+def _pieces(n: int, least: float) -> list[tuple[int, int]]:
+    """Start and size of the pieces of an item of n words, one more than it may have edits."""
+    cuts = [i * n // (k + 1) for k in (min(edit_allowance(n, least), n - 1),) for i in range(k + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
+
+def _runs_of(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    key = ids[: max(0, len(ids) - size + 1)].copy()
+    for i in range(1, size):
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key += ids[i : i + len(key)]
+    return key ^ key >> np.uint64(32)
+
+
 class ItemIndex:
-    """Keys of a block of items, by size class and repetition."""
+    """Keys of a block of items, by size class and repetition, and their pieces by size."""
 
     def __init__(self, items: list[tuple[object, str]], least: float = LEAST):
         self.names = [name for name, _ in items]
@@ -163,7 +184,7 @@ class ItemIndex:
         self.least = least
         members: dict[SizeClass, list[int]] = {}
         for i, words in enumerate(self.words):
-            if len(words) >= LEAST_WORDS:
+            if len(words) >= max(LEAST_WORDS, WALKED_WORDS):
                 members.setdefault(size_class(len(words)), []).append(i)
         self.classes = []
         for kind, own in sorted(members.items(), key=lambda x: x[0].low):
@@ -185,6 +206,19 @@ class ItemIndex:
                 seen[keys >> np.uint32(32 - _BITS)] = True
                 tables.append((p, f, seen, keys[order], order))
             self.classes.append((kind, np.array(at), tables))
+        cut: dict[int, list[tuple[int, int, int]]] = {}
+        for i, words in enumerate(self.words):
+            ids = np.array(words, dtype=np.uint64)
+            for start, size in _pieces(len(words), least) if len(words) >= LEAST_WORDS else ():
+                cut.setdefault(size, []).append((int(_runs_of(ids[start : start + size], size)[0]), i, start))
+        self.pieces = []
+        for size, own in sorted(cut.items()):
+            own.sort()
+            keys = np.array([key for key, *_ in own], dtype=np.uint64)
+            mask = np.uint64((1 << min(24, max(_BITS, len(own).bit_length() + 5))) - 1)
+            seen = np.zeros(int(mask) + 1, dtype=bool)
+            seen[keys & mask] = True
+            self.pieces.append((size, mask, seen, keys, [at for _, *at in own]))
 
     def candidates(self, ids: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(item, place where it would begin) for texts written after each other, each ended by a 0."""
@@ -204,11 +238,18 @@ class ItemIndex:
                     for h, a, b in zip(*(x[last > first].tolist() for x in (hit, first, last)), strict=True):
                         for item, offset in at[order[a:b]].tolist():
                             out.add((item, int(some[h]) - offset))
+        for size, mask, seen, keys, places in self.pieces:
+            own = _runs_of(ids, size)
+            hit = np.flatnonzero(seen[own & mask])
+            first, last = np.searchsorted(keys, own[hit], "left"), np.searchsorted(keys, own[hit], "right")
+            for h, a, b in zip(*(x[last > first].tolist() for x in (hit, first, last)), strict=True):
+                for item, offset in places[a:b]:
+                    out.add((item, h - offset))
         return out
 
     def search(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first word, words) of every item that a text holds; the best place of each."""
-        if not self.classes or not texts:
+        if not self.pieces or not texts:
             return []
         sizes = np.array([len(t) + 1 for t in texts])
         bases = np.concatenate([[0], np.cumsum(sizes)])
@@ -221,7 +262,7 @@ class ItemIndex:
         for item, start in sorted(self.candidates(ids, ends)):
             words, own = self.words[item], self.sets[item]
             slack = edit_allowance(len(words), self.least)
-            text = int(np.searchsorted(bases, max(start, 0) if start < 0 else min(start + slack, len(ids) - 1), "right")) - 1
+            text = int(np.searchsorted(bases, min(max(start + slack, 0), len(ids) - 1), "right")) - 1
             for near in {text, int(np.searchsorted(bases, max(start, 0), "right")) - 1, int(np.searchsorted(bases, min(max(start + len(words) - 1, 0), len(ids) - 1), "right")) - 1}:
                 low = max(start - slack, int(bases[near]))
                 high = min(start + len(words) + slack, int(bases[near + 1]) - 1)
