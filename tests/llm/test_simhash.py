@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from samples import ODD
 
-from vicinal.llm import simhash
+from vicinal.llm import shingles, simhash
 from vicinal.llm.components import components
 
 
@@ -99,6 +99,40 @@ def test_one_of_each_group_stays(make):
     assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs).collect()) == [0, 2, 9]
 
 
+def test_edited_copies_beyond_the_bits_go(make, monkeypatch):
+    """Brute force over sets of five-word shingles, where the groups are dealt out and where not."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(25):
+        words = rng.choices(vocabulary, k=rng.choice((3, 40, 150, 400)))
+        for k in range(4):
+            copy = list(words)
+            for _ in range(k * len(words) // 80):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((10 * i + k, " ".join(copy)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    prints = [slow(t) for _, t in rows]
+    root, beyond = list(range(len(rows))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            near, bits = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]), (prints[i] ^ prints[j]).bit_count()
+            beyond += near and bits > 4
+            if near or bits <= 4:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted({rows[find(i)][0] for i in range(len(rows))})
+    assert beyond > 10
+    assert sorted(r.doc_id for r in simhash.keep_one(make(rows)).collect()) == want
+    monkeypatch.setattr(shingles, "GROUP_SHINGLES", 200)
+    assert sorted(r.doc_id for r in simhash.keep_one(make(rows)).collect()) == want
+
+
 def test_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long")
     assert {r.node: r.root for r in components(links).collect()} == {i: 0 for i in range(51)} | {100: 100, 101: 100}

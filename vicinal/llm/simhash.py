@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm import shingles
 from vicinal.llm.common import map_arrow, rows_of, slices
 from vicinal.llm.components import components
 from vicinal.sources import stored
@@ -90,6 +91,20 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def _sketched(rows: DataFrame) -> DataFrame:
+    """``doc_id, fp`` and what ``shingles.links`` needs, in one pass over the texts."""
+    shingler: list[shingles.Shingler] = []
+
+    def run(batch: pa.RecordBatch):
+        shingler[:] = shingler or [shingles.Shingler()]
+        for part in slices(batch, "text", 1 << 20):
+            texts = part.column("text").to_pylist()
+            columns = [part.column("doc_id"), pa.array(_fingerprints(texts).view(np.int64)), *shingles.sketches(texts, shingler[0])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest", "n", "bands"])
+
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, digest long, n long, bands array<long>")
+
+
 def _forest(fps: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
     """Links that connect what the list's own links connect; each entry is expanded once."""
     out, left = [], np.arange(len(fps))
@@ -159,8 +174,16 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, fp, component_id``: the smallest id that links of at most ``most_bits`` bits reach."""
     prints = stored(fingerprints(docs, id_column=id_column, text_column=text_column), "simhash")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct, most_bits))
+    distinct = _distinct(prints)
+    return _classes(prints, distinct, links(distinct, most_bits))
+
+
+def _distinct(prints: DataFrame) -> DataFrame:
+    return stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+
+
+def _classes(prints: DataFrame, distinct: DataFrame, near: DataFrame) -> DataFrame:
+    roots = components(near)
     root = F.coalesce(roots["root"], distinct["fp"])
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", root.alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -168,15 +191,21 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, *, id_column: s
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, most_bits: int = MOST_BITS, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, most_bits: int = MOST_BITS, least: float = shingles.LEAST, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns: one of each component, that of its least id.
 
+    Links are those of the fingerprints and those of texts whose five-word shingles have a
+    likeness of ``least`` or more: most of these differ in more bits than the index serves.
     Rows without an id cannot be named by a component; of these, one of each text stays.
     """
     named = docs.filter(docs[id_column].isNotNull())
-    found = near_duplicates(named, most_bits, id_column=id_column, text_column=text_column)
-    least = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_column))
-    kept = named.join(least, id_column, "left_semi").dropDuplicates([id_column])
+    rows = rows_of(named, id_column, text_column)
+    sketched = stored(_sketched(rows), "simhash-shingles")
+    prints = sketched.select("doc_id", "fp")
+    distinct = _distinct(prints)
+    found = _classes(prints, distinct, links(distinct, most_bits).unionByName(shingles.links(sketched, rows, least)))
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_column))
+    kept = named.join(first, id_column, "left_semi").dropDuplicates([id_column])
     nameless = docs.filter(docs[id_column].isNull()).dropDuplicates([text_column])
     return kept.select(*docs.columns).unionByName(nameless)
 
