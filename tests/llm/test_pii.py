@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -62,6 +63,18 @@ def test_added_spans_and_redaction(make):
     assert got == {1: 'key token = "[SECRET]" end', 2: "phone: [PHONE] or [EMAIL]", 3: rows[2][1], 4: ""}
 
 
+def test_tokens_of_any_length(make):
+    """A key and the parts of a signed token beyond 128 characters go whole; long rules stay."""
+    rows, want = [], {}
+    for i, n in enumerate((100, 128, 129, 200, 1000, 5000)):
+        digest = "".join(hashlib.sha256(f"{n} {k}".encode()).hexdigest() for k in range(n // 64 + 1))[:n]
+        digest = re.sub("[0-9]{12}", "0123456789ab", digest)  # no card numbers within
+        safe = base64.urlsafe_b64encode(hashlib.shake_256(f"{n}".encode()).digest(n)).decode()[:n]
+        rows += [(10 * i, f'api key = "{digest}" end'), (10 * i + 1, f"token: {safe}.{safe[::-1]} end"), (10 * i + 2, f"before {'-' * n} after {'x' * n}")]
+        want |= {10 * i: 'api key = "[SECRET]" end', 10 * i + 1: "token: [SECRET].[SECRET] end", 10 * i + 2: rows[-1][1]}
+    assert {r.doc_id: r.clean for r in pii.find(make(rows)).withColumn("clean", pii.redacted()).collect()} == want
+
+
 def test_held_out_candidates(spark):
     import numpy as np
     from pyspark.sql import functions as F

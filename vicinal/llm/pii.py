@@ -2,7 +2,7 @@
 
 Fixed formats (email, ip, card, phone) are always found. Beyond them generators of high recall
 propose spans that may overlap: written-out email addresses, phone numbers without a plus
-sign, six-group addresses, card-like numbers that fail their checksum, and long tokens.
+sign, six-group addresses, card-like numbers that fail their checksum, and tokens of 20 characters or more.
 Boosted trees judge format and context of each proposal, their probability is calibrated, and a threshold per kind
 selects. Of selected proposals that overlap, the likeliest stays; what overlaps a fixed
 format is dropped.
@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 #: Least precision on the calibration rows that a kind's threshold has to give.
 LEAST_PRECISION = 0.97
-CONTEXT = 40
+CONTEXT, JUDGED = 40, 128
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 # The fixed formats. A local part is tried where its run begins or a match has just ended, a
@@ -50,7 +50,7 @@ _PROPOSED = (
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"(?:[0-9A-Fa-f]{1,4}:){7}"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![0-9])", r"[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}"),
     ("phone", r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])", r"[0-9][\x20)][\x20]?[0-9]{3,4}[\x20.-][0-9]|[0-9][.-][0-9]{3,4}[.\x20-][0-9]"),
-    ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])", r"[A-Za-z0-9_-]{20}"),
+    ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", r"[A-Za-z0-9_-]{20}"),
 )
 # Words before a span that speak for or against a kind.
 _CUES = {
@@ -129,13 +129,15 @@ def _features(c: Column, kind: str) -> list[Column]:
     value, before = c["value"], F.lower(c["before"])
     n, digits = F.length(value), F.length(_digits(value))
     count = lambda keep: F.length(F.regexp_replace(value, f"[^{keep}]", ""))
+    # A token of any length is judged as one of JUDGED characters with the same shares.
+    scale = F.least(F.lit(1.0), F.lit(float(JUDGED)) / n) if kind == "secret" else F.lit(1.0)
     return [
-        n.cast("double"),
-        digits.cast("double"),
+        n * scale,
+        digits * scale,
         digits / n,
-        count("A-Z").cast("double"),
+        count("A-Z") * scale,
         (count("0-9A-Fa-f") / n),
-        count(r"\x20.()-").cast("double"),
+        count(r"\x20.()-") * scale,
         F.size(F.array_distinct(F.split(value, "(?!^)"))) / F.least(n, F.lit(36)),
         F.rlike(value, F.lit(r"[0-9][A-Za-z]|[A-Za-z][0-9]")).cast("double"),
         *[F.rlike(before, F.lit(rf"(?<![a-z])(?:{words})[a-z]*[^a-z]*(?:is|no|nr|number|at|me)?[^a-z]*$")).cast("double") for words in _CUES.values()],
@@ -180,6 +182,10 @@ def _made(seed: int = 11, each: int = 240) -> list[tuple[str, str, int]]:
         put("phone", 0, rng.choice((f"{digit(2)} {digit(3)} {digit(3)}", f"{digit(4)}-{digit(3)}-{digit(3)}", f"{digit(3)} {digit(3)} {digit(4)}", f"{digit(2)}.{digit(3)}.{digit(3)}")), rng.choice(("", cue("other") + " ", some(1, 2) + " ")))
         put("secret", 1, rng.choice((hexed(rng.choice((32, 40, 64))), mixed(rng.randint(20, 48)))), rng.choice((f'{cue("secret")} = "', f"{cue('secret')}: ", f"{cue('secret')}=", "")))
         put("secret", 0, rng.choice(("".join(latin() for _ in range(6)), "-".join(latin() for _ in range(6)), digit(rng.randint(20, 30)), "_" * 24, "-" * 30, "x" * 25)), rng.choice(("", cue("other") + " ")))
+    for _ in range(each // 4):  # longer tokens: keys, parts of signed tokens
+        n = rng.randint(65, 400)
+        put("secret", 1, rng.choice((hexed, mixed))(n), rng.choice((f'{cue("secret")} = "', f"{cue('secret')}: ", f"{cue('secret')}=", "")))
+        put("secret", 0, rng.choice(("".join(latin() for _ in range(n // 6)), "-".join(latin() for _ in range(n // 6)), digit(n), "_" * n, "-" * n, "x" * n)), rng.choice(("", cue("other") + " ")))
     return out
 
 
