@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from samples import ODD, letters
 from pyspark.sql import functions as F
 
@@ -65,6 +66,59 @@ def test_forward_backward_by_brute_force():
     assert np.allclose(seen, pairs)
 
 
+def plain_bucket(x, salt):
+    x = (x + salt) * 0x9E3779B97F4A7C15 % 2**64
+    return ((x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64) >> 46
+
+
+def plain_features(word, lexicon):
+    """The buckets of a word, letter by letter."""
+    framed = [1, *map(ord, word), 2]
+    out = [plain_bucket(a << 21 | b, 1) for a, b in zip(framed, framed[1:])]  # noqa: B905
+    out += [plain_bucket((a << 42) + (b << 21) + c & 2**64 - 1, 2) for a, b, c in zip(framed, framed[1:], framed[2:])]  # noqa: B905
+    own = xxhash.xxh64_intdigest(word.encode("utf-32-le"))
+    out += [plain_bucket(own, 3), plain_bucket(0, 4)]
+    for side, salt in ((word, 4), (word[::-1], 8)):
+        key = 0
+        for k, c in enumerate(side[:4], 1):
+            key = (key * 0xC2B2AE3D27D4EB4F + ord(c)) % 2**64
+            out.append(plain_bucket(key, salt + k))
+    return out + [plain_bucket(int(j), 16) for h, row in zip(*lexicon, strict=True) if h == own for j in np.flatnonzero(row)]
+
+
+def test_predictions_by_brute_force(spark, make):
+    """Features word by word and sums over all paths give the scores of whole texts."""
+    model = language.Crf.fit([("en", "the cat and the dog of the house".split() * 3), ("de", "der hund und die katze der stadt".split() * 3), ("es", "el perro y la casa".split() * 3)])
+    texts = [(1, "The cat und"), (2, "la Casa, dog!"), (3, "zzz 1 ñandú ☃ the"), (4, "y"), (5, "12")]
+    got = {r.doc_id: r for r in language.predict(make(texts), model).collect()}
+    for i, text in texts:
+        words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+        if not words:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        emission = np.array([[model.weights[j][plain_features(w, model.lexicon)].sum(dtype=float) for j in range(3)] for w in words])
+        paths = np.array(np.meshgrid(*[range(3)] * len(words), indexing="ij")).reshape(len(words), -1).T
+        worth = np.exp([sum(emission[t, p[t]] for t in range(len(words))) + sum(model.transition[a, b] for a, b in zip(p, p[1:])) for p in paths])  # noqa: B905
+        mean = np.array([sum(worth[paths[:, t] == j].sum() for t in range(len(words))) for j in range(3)]) / worth.sum() / len(words)
+        assert got[i].lang_pred == model.labels[int(mean.argmax())] and got[i].score == pytest.approx(mean.max(), abs=1e-4)
+
+
+def test_every_word_of_the_sample_is_learned_from():
+    rng = np.random.default_rng(2)
+    spoken = [rng.integers(0, 9999, 1234), rng.integers(10_000, 12_000, 777)]
+    ids, gold = language._sequences(spoken, rng)
+    assert set(ids.ravel()) == set(np.concatenate(spoken)) and ((ids >= 10_000) == gold).all()
+    assert (gold.min(1) != gold.max(1)).sum() > 0.2 * len(gold)
+
+
+def test_long_texts_are_learned_from_whole_and_within_the_bound(spark, make):
+    texts = [(1, "alpha " * 3000 + "omega " * 50), (2, "beta " * 10), (3, "gamma " * 5000)]
+    model = language.fit(make(texts))
+    known = set(model.lexicon[0].tolist())
+    assert all(xxhash.xxh64_intdigest(w.encode("utf-32-le")) in known for w in ("alpha", "omega", "beta", "gamma"))
+    assert 1 <= len(language.fit(make(texts), sample_chars=100).lexicon[0]) <= 2
+
+
 def test_language_held_out_and_switched(spark, make, none):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rest = F.crc32(F.col("doc_id").cast("string")) % 4

@@ -4,6 +4,7 @@ import base64
 import glob
 import gzip
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -13,15 +14,13 @@ from samples import ODD
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vicinal.llm import cas, warc
+from vicinal.llm import cas, common, warc
 
 WORDS = P.path("word_bpe_49k.json")
 
 
 def ids_of(text):
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return [*Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def packed(ids):
@@ -48,6 +47,55 @@ def test_store_round_trip(spark, make, tmp_path):
     assert stored < 2 * sum(n for _, _, n, _ in want) * 0.7  # the long copies share most chunks
 
 
+def thue_morse(n, a, b):
+    """Words that collide under every polynomial hash modulo a power of two."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a
+
+
+def test_words_that_collide_under_polynomial_hashes(spark, make, tmp_path):
+    rows = [(10 * n + i, thue_morse(n, *x)) for n in (1024, 2048, 4096) for i, x in enumerate(("ab", "ba"))]
+    cas.write(make(rows), f"file://{tmp_path}/s", WORDS, 2)
+    want = {i: zlib.crc32(packed(ids_of(t))) for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in cas.read(spark, f"file://{tmp_path}/s").collect()} == want
+
+
+def test_ids_are_those_of_the_library():
+    rng = random.Random(3)
+    texts = ["see <|endoftext|> here<|startoftext|>x", "ȺB Ⱦ İx", " ".join(map(chr, cas._HERE)), "“a” — l’été\u2028x", "a\xa0b\x85c\ud7ff"]
+    texts += ["".join(rng.choice([chr(rng.randrange(0x260)), chr(rng.randrange(32, 127)), "'", " ", chr(rng.randrange(0x2000, 0x2030))]) for _ in range(300)) for _ in range(200)]
+    texts += ["".join(chr(rng.choice(cas._HERE)) if rng.random() < 0.4 else rng.choice("abcdefgh 'st1.") for _ in range(300)) for _ in range(200)]
+    tokenizer, coder = Tokenizer.from_file(WORDS), cas.Encoder(WORDS)
+    ids, ends = coder.encode(texts, 2)
+    for text, got in zip(texts, np.split(ids, ends[:-1]), strict=True):
+        assert got.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_a_tokenizer_of_other_rules(tmp_path):
+    other = P.path("byte_bpe_50k.json")
+    coder, tokenizer = cas.Encoder(other), Tokenizer.from_file(other)
+    assert not coder._by_words
+    for text in ("Two  words\n", "ÄÖ x", ""):
+        assert coder.encode([text], 2)[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_roots_of_streamed_leaves():
+    for n in range(40):
+        leaves, tree = [cas.digest(bytes([i])) for i in range(n)], cas.Merkle()
+        for leaf in leaves:
+            tree.add(leaf)
+        assert tree.root() == cas.merkle(leaves)
+
+
+def test_hot_chunks_are_dealt(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = [(i, "") for i in range(40)] + [(100 + i, "one text") for i in range(30)] + [(200, "another")]
+    cas.write(make(rows), f"file://{tmp_path}/s", WORDS, 2)
+    want = {i: zlib.crc32(packed(ids_of(t))) for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in cas.read(spark, f"file://{tmp_path}/s").collect()} == want
+
+
 def test_empty_store(spark, none, tmp_path):
     cas.write(none, f"file://{tmp_path}/s", WORDS, 2)
     assert cas.read(spark, f"file://{tmp_path}/s").count() == 0

@@ -18,16 +18,16 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from vicinal.llm.common import ByteHasher, map_arrow, rows_of, runs, slices
+from vicinal.llm.common import distinct_words, map_arrow, rows_of, runs, slices, spread_join
 from vicinal.sources import stored
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, np.uint32((1 << 9) - 1)
-#: Words that a process keeps the ids of; the table is emptied when full.
+#: Words that a process keeps the ids of; the tables are emptied when full.
 CACHE_WORDS = 1_000_000
-#: New words that the model gets at once.
-LINE_WORDS = 256
+#: New pieces that the model gets at once.
+LINE_PIECES = 256
 
 # One random 32-bit number per id, from a fixed multiplicative generator.
 _MIX = np.uint32(2654435761)
@@ -95,16 +95,36 @@ def cuts(ids: np.ndarray) -> list[int]:
     return _ends(_marks(ids).tolist(), 0, len(ids))
 
 
+# The rules by which the word-level vocabulary file cuts texts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+# Texts of these characters are cut here as a tokenizer with the rules above cuts them, provided
+# that they are in composed form: white space parts words, words are lower-cased and fall into
+# letters, single numbers, contractions and the rest. All others go through the tokenizer whole.
+def _cut_here(code: int) -> bool:
+    """White space and printable characters of the Latin blocks and of common punctuation, that stay there in lower case."""
+    lower = chr(code).lower()
+    return code in (9, 10, 13) or (32 <= code < 127 or 160 < code < 0x250 or 0x2010 <= code < 0x2028) and len(lower) == 1 and (ord(lower) < 0x250 or code >= 0x2010)
+
+
+_HERE = [c for c in range(0x2028) if _cut_here(c)]
+_OTHER = re.compile(f"[^{re.escape(''.join(map(chr, _HERE)))}]")
+
+
 def _class(category: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(_LATIN) if unicodedata.category(chr(c))[0] == category)
+    return "".join(re.escape(chr(c)) for c in _HERE if unicodedata.category(chr(c))[0] == category)
 
 
-# Texts of Latin letters and common punctuation in composed form are cut here as the tokenizer
-# cuts them: white space parts words, words are lower-cased and fall into letters, single
-# numbers, contractions and the rest. All others go through the tokenizer whole.
-_LATIN = 0x250
-_OTHER = re.compile(f"[^\0-{chr(_LATIN - 1)}\u2010-\u2027]|[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\xa0]")
-_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|\n|[^\s{_class('L')}{_class('N')}]+")
+_CUT = re.compile(_PATTERN.replace(r"[\p{N}]|", r"[\p{N}]|\n|").replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N")))
 
 
 def _byte_letters() -> list[str]:
@@ -119,85 +139,105 @@ def _byte_letters() -> list[str]:
     return out
 
 
+class Numbers(dict):
+    """Numbers of things, in the order in which they are first met."""
+
+    def __missing__(self, key: str | bytes) -> int:
+        number = self[key] = len(self)
+        return number
+
+    def since(self, number: int) -> list:
+        """What has this number or a later one."""
+        return list(islice(reversed(self), len(self) - number))[::-1]
+
+
+class Pool:
+    """Sequences of ids by number."""
+
+    def __init__(self, kind: np.dtype):
+        self._ids, self._starts, self._sizes = np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
+        self._ids, self._sizes = np.concatenate([self._ids, ids.astype(self._ids.dtype)]), np.concatenate([self._sizes, sizes])
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences after each other, and where each ends."""
+        sizes = self._sizes[numbers]
+        upto = np.cumsum(sizes)
+        source = np.repeat(self._starts[numbers] - (upto - sizes), sizes)
+        source += np.arange(len(source))
+        return self._ids[source], upto
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library; words met before are looked up.
+    """Ids of whole texts, those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The tokenizer drops white space and merges within the pieces of a word, so the ids of a
-    text are those of its pieces in order.
+    A tokenizer with the rules above drops white space and merges within the pieces of a word, so
+    the ids of a text are those of its pieces in order, and each distinct word and piece goes to
+    the library's model once. Words are keyed by themselves, not by hashes. Tokenizers with other
+    rules, and texts that hold an added token or unusual characters, are encoded by the library.
     """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._tokenizer.encode_special_tokens = True
+        rules = json.loads(self._tokenizer.to_str())
+        self._by_words = all(rules[name] == rule for name, rule in (("normalizer", _NORMALIZER), ("pre_tokenizer", _PRE_TOKENIZER), ("truncation", None), ("padding", None)))
+        self._added = [t["content"] for t in rules["added_tokens"]]
         self.wide = self._tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         letters = _byte_letters()
-        self._letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in (10, *range(128, _LATIN), *range(0x2010, 0x2028))}
+        self._feed = letters[10]
+        letters[32] = " "  # parts the pieces, none holds one
+        self._letters = np.array([ord(x) for x in letters], dtype="<u2")
         self._bare = Tokenizer(self._tokenizer.model)  # the same model, for pieces that are cut and spelled in byte letters
         self._bare.pre_tokenizer = WhitespaceSplit()
-        self._feed = self._letters[10]
-        (self._feed_id,) = self._bare.encode(self._feed, add_special_tokens=False).ids
-        self._hashed = ByteHasher(2)
+        self._feed_ids = self._bare.encode(self._feed, add_special_tokens=False).ids
+        self._by_words &= len(self._feed_ids) == 1
         self._forget()
 
     def _forget(self) -> None:
-        """Empty the tables: sorted hashes of known words, and where their ids are in the pool."""
-        self._hashes = np.zeros((2, 0), dtype=np.uint64)
-        self._starts, self._sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self._pool = np.zeros(0, dtype=self.kind)
-
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words after each other, and how many each has.
-
-        The pieces of some words at a time go to the model as one line, a line feed after each word.
-        """
-        lines = []
-        for start in range(0, len(words), LINE_WORDS):
-            text = " ".join(_CUT.findall("\n".join(words[start : start + LINE_WORDS]).lower() + "\n"))
-            lines.append(text.replace("\n", self._feed) if text.isascii() else text.translate(self._letters))
+        """Empty the tables of words and of pieces; a line feed is a piece without ids."""
+        self._words, self._word_ids = Numbers(), Pool(self.kind)
+        self._pieces, self._piece_ids = Numbers({"\n": 0}), Pool(self.kind)
+        self._piece_ids.add(np.zeros(0, dtype=self.kind), np.zeros(1, dtype=np.int64))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Add new words to the table. The library's model gets some new pieces at a time as one line, a line feed after each."""
+        known = len(self._pieces)
+        found = _CUT.findall(b"\n".join(words).decode().lower() + "\n")
+        at = np.fromiter(map(self._pieces.__getitem__, found), dtype=np.int64, count=len(found))
+        fresh, lines = self._pieces.since(known), []
+        for start in range(0, len(fresh), LINE_PIECES):
+            line = " \n ".join(fresh[start : start + LINE_PIECES]) + " \n"
+            lines.append(self._letters[np.frombuffer(line.encode(), dtype=np.uint8)].tobytes().decode("utf-16-le"))
         parts = [e.ids for e in self._bare.encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=sum(map(len, parts)))
-        at = np.flatnonzero(ids == self._feed_id)
-        return np.delete(ids, at).astype(self.kind), np.diff(at, prepend=-1) - 1
+        feeds = np.flatnonzero(ids == self._feed_ids[0])
+        self._piece_ids.add(np.delete(ids, feeds), np.diff(feeds, prepend=-1) - 1)
+        ids, upto = self._piece_ids.get(at)
+        self._word_ids.add(ids, np.diff(upto[at == 0], prepend=0))
 
     def _latin(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         parts = [t.encode() for t in texts]
-        joined = b" ".join(parts) + b" "
-        raw = np.frombuffer(joined, dtype=np.uint8)
+        raw = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
         starts, ends = runs(raw > 32)  # the smaller bytes are white space in these texts
-        hashes = self._hashed(raw, starts, ends)
-        distinct, first, of = np.unique(hashes[0], return_index=True, return_inverse=True)
-        second = hashes[1][first]
-        if (second[of] != hashes[1]).any():
-            raise ValueError("two words have one hash")
-        if self._hashes.shape[1] + len(distinct) > CACHE_WORDS:
+        words, of = distinct_words(raw, starts, ends)
+        if len(self._words) + len(words) > CACHE_WORDS:
             self._forget()
-        at = np.searchsorted(self._hashes[0], distinct)
-        there = np.minimum(at, max(0, self._hashes.shape[1] - 1))
-        known = self._hashes[0][there] == distinct if self._hashes.shape[1] else np.zeros(len(distinct), dtype=bool)
-        if known.any() and (self._hashes[1][there] != second)[known].any():
-            raise ValueError("two words have one hash")
-        new = np.flatnonzero(~known)
-        if len(new):
-            words = [joined[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            ids, sizes = self._ids(words)
-            begin = len(self._pool) + np.cumsum(sizes) - sizes
-            self._pool = np.concatenate([self._pool, ids])
-            self._hashes = np.stack([np.insert(self._hashes[i], at[new], x[new]) for i, x in enumerate((distinct, second))])
-            self._starts, self._sizes = np.insert(self._starts, at[new], begin), np.insert(self._sizes, at[new], sizes)
-            at = np.searchsorted(self._hashes[0], distinct)
-        sizes = self._sizes[at][of]
-        upto = np.cumsum(sizes)
-        source = np.repeat(self._starts[at][of] - (upto - sizes), sizes)
-        source += np.arange(len(source))
+        known = len(self._words)
+        numbers = np.fromiter(map(self._words.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self._words) > known:
+            self._learn(self._words.since(known))
+        ids, upto = self._word_ids.get(numbers[of])
         words_before = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
         last = np.concatenate([[0], upto])[words_before]
-        return np.insert(self._pool[source], last, self.kind.type(end_id)), last + np.arange(1, len(last) + 1)
+        return np.insert(ids, last, self.kind.type(end_id)), last + np.arange(1, len(last) + 1)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts after each other, each with the end id, and where each ends."""
-        plain = [_OTHER.search(t) is None and unicodedata.is_normalized("NFC", t) for t in texts]
+        plain = [self._by_words and _OTHER.search(t) is None and unicodedata.is_normalized("NFC", t) and not any(a in t for a in self._added) for t in texts]
         if all(plain):
             return self._latin(texts, end_id)
         ids, ends = self._latin([t for t, p in zip(texts, plain, strict=True) if p], end_id) if any(plain) else (np.zeros(0, self.kind), np.zeros(0, np.int64))
@@ -260,13 +300,49 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos += n
 
 
+class Merkle:
+    """The root of ``merkle`` over digests that come one by one; only the roots of full subtrees are held."""
+
+    def __init__(self):
+        self._full: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self._full and self._full[-1][0] == level:
+            leaf, level = merkle([self._full.pop()[1], leaf]), level + 1
+        self._full.append((level, leaf))
+
+    def root(self) -> bytes:
+        out = self._full[-1][1] if self._full else bytes(16)
+        for _, left in self._full[-2::-1]:
+            out = merkle([left, out])
+        return out
+
+
 def _shard_roots(recipes: DataFrame) -> DataFrame:
-    def root_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        return pd.DataFrame({"shard": [key[0]], "docs": [len(part)], "tokens": [int(part.n_tokens.sum())], "root": [merkle(part.root.tolist())]})
+    """``shard, docs, tokens, root``; the rows of a shard pass through a task in order, and none are held."""
 
-    kept = recipes.select("shard", "pos", "n_tokens", "root")
-    return kept.groupBy("shard").applyInPandas(root_of, "shard int, docs long, tokens long, root binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, docs, tokens, tree = None, 0, 0, Merkle()
+
+        def done():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([docs]), pa.array([tokens]), pa.array([tree.root()], pa.binary())], names=["shard", "docs", "tokens", "root"]
+            )
+
+        for batch in batches:
+            for own, n, root in zip(*(batch.column(c).to_pylist() for c in ("shard", "n_tokens", "root")), strict=True):
+                if own != shard:
+                    if docs:
+                        yield done()
+                    shard, docs, tokens, tree = own, 0, 0, Merkle()
+                docs, tokens = docs + 1, tokens + n
+                tree.add(root)
+        if docs:
+            yield done()
+
+    ordered = recipes.select("shard", "pos", "n_tokens", "root").repartition("shard").sortWithinPartitions("shard", "pos")
+    return ordered.mapInArrow(run, "shard int, docs long, tokens long, root binary")
 
 
 def _top(shards: DataFrame) -> bytes:
@@ -368,7 +444,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     known = map_arrow(chunks, sums, "hash binary, crc long, n int")
     parts = _placed(_verified_root(recipes), manifest).select("doc_id", "start", "n_tokens", F.posexplode("hashes").alias("seq", "hash"))
-    found = parts.join(known, "hash", "left").groupBy("start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "crc", "n"))).alias("parts"), F.count("*").alias("k"))
+    found = spread_join(parts, known, "hash", ["start", "seq"], "left").groupBy("start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "crc", "n"))).alias("parts"), F.count("*").alias("k"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def join(batch: pa.RecordBatch):
@@ -396,12 +472,15 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids``: every document's ids, packed as four little-endian bytes each."""
     recipes, manifest, chunks, width = _checked(spark, path)
     parts = _placed(_verified_root(recipes), manifest).select("doc_id", "start", "n_tokens", F.posexplode("hashes").alias("seq", "hash"))
-    found = parts.join(chunks, "hash").groupBy("start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
+    found = spread_join(parts, chunks, "hash", ["start", "seq"], "left").groupBy("start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def join(batch: pa.RecordBatch):
         source = "<u4" if width == 4 else "<u2"
-        ids = [np.frombuffer(b"".join(p["ids"] for p in parts), source).astype("<u4").tobytes() for parts in batch.column("parts").to_pylist()]
+        held = batch.column("parts").to_pylist()
+        if any(p["ids"] is None for parts in held for p in parts):
+            raise ValueError("chunks of a document are missing")
+        ids = [np.frombuffer(b"".join(p["ids"] for p in parts), source).astype("<u4").tobytes() for parts in held]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     return map_arrow(found, join, f"doc_id {kind}, start long, n_tokens long, ids binary")

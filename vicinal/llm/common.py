@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ WORD = re.compile(r"[^\W\d_]+")
 
 #: Bytes of an Arrow batch; several are held at a time, by the worker and by the JVM.
 BATCH_BYTES = 16 << 20
+#: Rows from which a key may be dealt over several tasks of a join, the most such keys, and the tasks of each.
+HOT_ROWS, HOT_KEYS, SALTS = 10_000, 1_000, 64
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -43,6 +46,21 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.Re
     return df.mapInArrow(run, schema)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """Join on a key of which ``right`` has one row and ``left`` may have very many.
+
+    The keys with most rows, ``HOT_KEYS`` at most, have their rows dealt over ``SALTS`` tasks by
+    the hash of the columns ``spread``; the row of ``right`` goes to each of these. Any other key
+    has less than ``HOT_ROWS`` rows or than one in ``HOT_KEYS`` of all.
+    """
+    many = left.groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("hot_rows")).filter(F.col("hot_rows") >= HOT_ROWS)
+    hot = F.broadcast(many.orderBy(F.desc("hot_rows"), "hot_key").limit(HOT_KEYS).select("hot_key"))
+    dealt = left.join(hot, left[key] == F.col("hot_key"), "left").withColumn("salt", F.when(F.col("hot_key").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.lit(SALTS))).cast("int"))
+    copies = F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    copied = right.join(hot, right[key] == F.col("hot_key"), "left").withColumn("salt", F.explode(copies))
+    return dealt.drop("hot_key").join(copied.drop("hot_key"), [key, "salt"], how).drop("salt")
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts take about ``most`` bytes; one longer text is a part of its own."""
     ends = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))])
@@ -69,45 +87,24 @@ class WordCache(dict):
         return value
 
 
-class ByteHasher:
-    """64-bit hashes of many words of a byte array: polynomials of their bytes, from running sums."""
-
-    # Odd numbers, so that they have inverses modulo 2**64.
-    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-    #: Bytes that one running sum covers, unless a word is longer.
-    BLOCK = 1 << 19
-
-    def __init__(self, kinds: int = 1):
-        self._tables = [self._powers(base, 1 << 16) for base in self.BASES[:kinds]]
-
-    @staticmethod
-    def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for x in (base, pow(base, -1, 1 << 64)):
-            powers = np.full(n, x, dtype=np.uint64)
-            powers[0] = 1
-            out.append(np.cumprod(powers))
-        return out[0], out[1]
-
-    def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(kind, word) hashes of the words from ``starts`` to ``ends``, which are in order."""
-        out = np.empty((len(self._tables), len(starts)), dtype=np.uint64)
-        first = 0
-        while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(starts, starts[first] + self.BLOCK)))
-            low, high = int(starts[first]), int(ends[last - 1])
-            if len(self._tables[0][0]) < high - low:
-                self._tables = [self._powers(base, 2 * (high - low)) for base, _ in zip(self.BASES, self._tables, strict=False)]
-            block, a, b = raw[low:high] + np.uint64(1), starts[first:last] - low, ends[first:last] - low
-            for i, (power, inverse) in enumerate(self._tables):
-                sums = np.zeros(high - low + 1, dtype=np.uint64)
-                np.cumsum(block * power[: high - low], out=sums[1:])
-                value = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
-                value = (value ^ value >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-                value = (value ^ value >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-                out[i, first:last] = value ^ value >> np.uint64(31)
-            first = last
-        return out
+def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different words (bytes) of an array of bytes or code points, and the number of each word among them.
+
+    Words are held against each other whole, by Arrow's dictionary; ``starts`` and ``ends`` are in order.
+    """
+    edge = np.zeros(len(raw) + 1, dtype=np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    inner = raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]) * raw.itemsize
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(inner))]).dictionary_encode()
+    return words.dictionary.to_numpy(zero_copy_only=False), words.indices.to_numpy()
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes (XXH64) of the words of an array; each different word is hashed once."""
+    words, of = distinct_words(raw, starts, ends)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))[of]
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,26 +6,28 @@ one weight table. Transitions between the languages of neighbouring words are le
 sequences spliced from texts of several languages. Forward-backward gives each word the
 probabilities of the languages; a text's score for a language is their mean.
 
-The model is fitted on segments of at most ``SAMPLE_DOCS`` documents, those with the least
-hash of their id. A null text, or one without a letter, is ``und`` with score 0, and so is
+The model is fitted on the whole texts of at most ``SAMPLE_DOCS`` documents, those with the least
+hash of their id, as many as have ``SAMPLE_CHARS`` code points together (one at least). A null text, or one without a letter, is ``und`` with score 0, and so is
 every text if there is nothing to learn from. Repeated rows repeat; an empty table gives an
 empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import ByteHasher, map_arrow, rows_of, runs, slices
+from vicinal.llm.common import bounded, distinct_words, map_arrow, rows_of, runs, slices, word_hashes
 
-SAMPLE_DOCS, SEGMENT, SEGMENTS, BUCKETS, AFFIX = 4_000, 40, 6, 1 << 18, 4
+SAMPLE_DOCS, SAMPLE_CHARS, SEGMENT, BUCKETS, AFFIX = 4_000, 64 << 20, 40, 1 << 18, 4
+#: Sequences that training sees at least, passing over the sample as often as that takes, and those of one step.
+SEQUENCES, STEP = 24_000, 400
 #: Words of a batch of sequences that forward-backward takes at once.
 GROUP_WORDS = 400_000
 UNKNOWN = "und"
@@ -157,23 +159,23 @@ class Crf:
     lexicon: tuple[np.ndarray, np.ndarray]
 
     @staticmethod
-    def fit(segments: list[tuple[str, list[str]]], rounds: int = 4, sequences: int = 6_000, seed: int = 0) -> Crf:
-        """Learn from word lists of known language, spliced into sequences of one to three languages."""
-        segments = [(lang, words) for lang, words in segments if words]
-        labels = tuple(sorted({lang for lang, _ in segments}))
+    def fit(texts: list[tuple[str, list[str]]], seed: int = 0) -> Crf:
+        """Learn from word lists of known language. Every word is learned from in every pass.
+
+        Half of a pass are sequences of one language, the other half is spliced from pieces of all.
+        Languages with fewer words than the mean are repeated up to it.
+        """
+        texts = [(lang, words) for lang, words in texts if words]
+        labels = tuple(sorted({lang for lang, _ in texts}))
         k = len(labels)
         if not k:
             return Crf((), np.zeros((0, BUCKETS), np.float32), np.zeros((0, 0)), (np.zeros(0, np.uint64), np.zeros((0, 0), bool)))
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in segments for w in words}))}
-        counts = np.zeros((len(vocabulary), k))
-        by: list[list[np.ndarray]] = [[] for _ in labels]
-        for lang, words in segments:
-            label = labels.index(lang)
-            by[label].append(np.array([vocabulary[w] for w in words]))
-            np.add.at(counts, (by[label][-1], label), 1)
+        vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in texts for w in words}))}
+        spoken = [np.array([vocabulary[w] for lang, words in texts if lang == label for w in words]) for label in labels]
+        counts = np.stack([np.bincount(x, minlength=len(vocabulary)) for x in spoken], 1)
         total = counts.sum(1)
         all_words = Words(list(vocabulary))
-        hashes = ByteHasher()(all_words.codes, all_words.starts, all_words.ends)[0]
+        hashes = word_hashes(all_words.codes, all_words.starts, all_words.ends)
         common = np.flatnonzero(total >= 5)
         common = common[np.argsort(hashes[common])]
         lexicon = hashes[common], counts[common] >= 0.2 * total[common, None]
@@ -182,47 +184,60 @@ class Crf:
         flat, sizes = flat[order], np.bincount(owner, minlength=len(vocabulary))
         starts = np.concatenate([[0], np.cumsum(sizes)])
         rng = np.random.default_rng(seed)
-        ids, gold = np.zeros((sequences, SEGMENT), dtype=np.int64), np.zeros((sequences, SEGMENT), dtype=np.int64)
-        for row in range(sequences):
-            mixed, label, at = rng.random() < 0.5, rng.integers(k), 0
-            while at < SEGMENT:
-                words = by[label][rng.integers(len(by[label]))]
-                take = int(rng.integers(4, 20)) if mixed else SEGMENT
-                start = int(rng.integers(max(1, len(words) - take + 1)))
-                some = words[start : start + min(take, SEGMENT - at)]
-                ids[row, at : at + len(some)], gold[row, at : at + len(some)] = some, label
-                at += len(some)
-                if mixed:
-                    label = rng.integers(k)
+        mean = sum(map(len, spoken)) // k
+        spoken = [np.resize(x, max(len(x), mean, SEGMENT)) for x in spoken]
+        rounds = -(-SEQUENCES * SEGMENT // sum(map(len, spoken)))
+        ids, gold = (np.concatenate(x) for x in zip(*(_sequences(spoken, rng) for _ in range(rounds)), strict=True))
         weights, transition = np.zeros((k, BUCKETS), np.float32), np.zeros((k, k))
         squares, moves = np.full((k, BUCKETS), 1e-6, np.float32), np.full((k, k), 1e-6)
-        lengths, one = np.full(200, SEGMENT), np.eye(k)
-        for _ in range(rounds):
-            order = rng.permutation(len(ids))
-            for begin in range(0, len(order), 200):
-                some = order[begin : begin + 200]
-                words, at = np.unique(ids[some], return_inverse=True)
-                at = at.reshape(len(some), SEGMENT)
-                own = np.repeat(np.arange(len(words)), sizes[words])
-                span = flat[np.repeat(starts[words] - (np.cumsum(sizes[words]) - sizes[words]), sizes[words]) + np.arange(len(own))]
-                scores = _sums(weights, span, own, len(words))
-                gamma, pairs = forward_backward(scores[at].transpose(1, 0, 2), transition, lengths[: len(some)])
-                error = gamma.transpose(1, 0, 2) - one[gold[some]]
-                slope = np.empty_like(weights)
-                for j in range(k):
-                    per_word = np.bincount(at.ravel(), weights=error[..., j].ravel(), minlength=len(words)) / len(some)
-                    slope[j] = np.bincount(span, weights=per_word[own], minlength=BUCKETS)
-                slope += 1e-5 * weights
-                squares += slope**2
-                weights -= 0.1 * slope / np.sqrt(squares)
-                seen = np.zeros((k, k))
-                np.add.at(seen, (gold[some][:, :-1].ravel(), gold[some][:, 1:].ravel()), 1)
-                turn = (pairs - seen) / len(some)
-                moves += turn**2
-                transition -= 0.1 * turn / np.sqrt(moves)
+        lengths, one = np.full(STEP, SEGMENT), np.eye(k)
+        for begin in range(0, len(ids), STEP):
+            some = slice(begin, begin + STEP)
+            words, at = np.unique(ids[some], return_inverse=True)
+            at = at.reshape(-1, SEGMENT)
+            own = np.repeat(np.arange(len(words)), sizes[words])
+            span = flat[np.repeat(starts[words] - (np.cumsum(sizes[words]) - sizes[words]), sizes[words]) + np.arange(len(own))]
+            scores = _sums(weights, span, own, len(words))
+            gamma, pairs = forward_backward(scores[at].transpose(1, 0, 2), transition, lengths[: len(at)])
+            error = gamma.transpose(1, 0, 2) - one[gold[some]]
+            slope = np.empty_like(weights)
+            for j in range(k):
+                per_word = np.bincount(at.ravel(), weights=error[..., j].ravel(), minlength=len(words)) / len(at)
+                slope[j] = np.bincount(span, weights=per_word[own], minlength=BUCKETS)
+            slope += 1e-5 * weights
+            squares += slope**2
+            weights -= 0.1 * slope / np.sqrt(squares)
+            seen = np.zeros((k, k))
+            np.add.at(seen, (gold[some][:, :-1].ravel(), gold[some][:, 1:].ravel()), 1)
+            turn = (pairs - seen) / len(at)
+            moves += turn**2
+            transition -= 0.1 * turn / np.sqrt(moves)
         return Crf(labels, weights, transition, lexicon)
 
 
+def _sequences(spoken: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, word) words and languages of one pass over all words, in random order.
+
+    The words of a language are cut into rows of ``SEGMENT``, the last filled up from the beginning. Half
+    of the rows stay; the others are cut into pieces of 4 to 19 words, which are shuffled and laid end to end.
+    """
+    rows = [np.resize(x, (-(-len(x) // SEGMENT), SEGMENT)) for x in spoken]
+    ids, gold = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = rng.permutation(len(ids))
+    ids, gold = ids[order], np.repeat(gold[order, None], SEGMENT, 1)
+    half = len(ids) // 2
+    mixed, told = ids[half:].ravel(), gold[half:].ravel()
+    cut = np.cumsum(rng.integers(4, 20, len(mixed) // 4 + 1))
+    cut = np.unique(np.concatenate([cut[cut < len(mixed)], np.arange(SEGMENT, len(mixed), SEGMENT)]))
+    begin, size = np.concatenate([[0], cut]), np.diff(cut, prepend=0, append=len(mixed))
+    turn = rng.permutation(len(begin))
+    size = size[turn]
+    at = np.repeat(begin[turn] - (np.cumsum(size) - size), size) + np.arange(len(mixed))
+    ids[half:], gold[half:] = mixed[at].reshape(-1, SEGMENT), told[at].reshape(-1, SEGMENT)
+    order = rng.permutation(len(ids))
+    return ids[order], gold[order]
+
+
 def _sums(weights: np.ndarray, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """(word, label) sums of the weights of the words' features."""
     return np.stack([np.bincount(owner, weights=w[flat], minlength=n) for w in weights], 1)
@@ -232,7 +247,7 @@ class Tagger:
     """A model at work: each distinct word of some texts is scored once."""
 
     def __init__(self, model: Crf):
-        self.model, self._hash = model, ByteHasher()
+        self.model = model
 
     def tag(self, words: Words) -> list[np.ndarray]:
         """(word, label) probabilities of every text."""
@@ -240,9 +255,11 @@ class Tagger:
         out: list[np.ndarray] = [np.zeros((n, k)) for n in words.per_text.tolist()]
         if not k or not len(words.starts):
             return out
-        hashes = self._hash(words.codes, words.starts, words.ends)[0]
-        distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-        flat, owner = features(words.codes, words.starts[first], words.ends[first], distinct, self.model.lexicon)
+        distinct, of = distinct_words(words.codes, words.starts, words.ends)
+        first = np.zeros(len(distinct), dtype=np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+        flat, owner = features(words.codes, words.starts[first], words.ends[first], hashes, self.model.lexicon)
         scores = _sums(self.model.weights, flat, owner, len(distinct)).astype(np.float32)
         order = np.argsort(-words.per_text, kind="stable")
         order = order[words.per_text[order] > 0].tolist()
@@ -261,23 +278,21 @@ class Tagger:
         return out
 
 
-def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Crf:
-    """Learn from rows with a language; ``SEGMENTS`` runs of ``SEGMENT`` words of each sampled document are collected."""
-    known = docs.select(F.col(id_column).alias("doc_id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
+def fit(
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS
+) -> Crf:
+    """Learn from rows with a language; the whole texts of the sampled documents are collected, each word once lower-cased."""
+    known = bounded(docs).select(F.col(id_column).alias("doc_id"), F.col(lang_column).alias("lang"), F.col(text_column).cast("string").alias("text"))
     known = known.filter("doc_id is not null and lang is not null and text is not null")
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = known.join(F.broadcast(ids), "doc_id")
+    ids = known.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    before = F.coalesce(F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = ids.select("doc_id", before.alias("before"), "chars").filter((F.col("before") == 0) | (F.col("before") + F.col("chars") <= sample_chars)).select("doc_id")
+    rows = known.join(F.broadcast(ids), "doc_id").select("lang", "text")
 
     def run(batch: pa.RecordBatch):
         for part in slices(batch, "text"):
-            langs, words = [], []
-            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found = Words([text]).listed()[0]
-                step = max(SEGMENT, len(found) // SEGMENTS)
-                for start in range(0, min(len(found), step * SEGMENTS), step):
-                    langs.append(lang)
-                    words.append(" ".join(found[start : start + SEGMENT]))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], names=["lang", "words"])
+            words = [" ".join(w) for w in Words(part.column("text").to_pylist()).listed()]
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(words, pa.string())], names=["lang", "words"])
 
     sample = map_arrow(rows, run, "lang string, words string").toArrow().to_pandas().drop_duplicates().sort_values(["lang", "words"], kind="stable")
     return Crf.fit([(lang, words.split(" ")) for lang, words in sample.itertuples(index=False) if words])

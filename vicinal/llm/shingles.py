@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import ByteHasher, map_arrow, runs, slices
+from vicinal.llm.common import map_arrow, runs, slices, word_hashes
 from vicinal.llm.components import components
 from vicinal.sources import stored
 
@@ -31,26 +31,21 @@ _MIXES = _rng.integers(1, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint32) | np.arra
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingler:
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sets of shingles, sorted 64-bit hashes, of texts."""
-
-    def __init__(self):
-        self._hash = ByteHasher()
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        raw = np.frombuffer(b" ".join(w for words in split for w in words), dtype=np.uint8)
-        ids = self._hash(raw, *runs(raw != 32))[0]
-        out, base = [], 0
-        for words in split:
-            own = ids[base : base + len(words)]
-            base += len(words)
-            key = np.zeros(max(1, len(own) - WORDS + 1) if len(own) else 0, dtype=np.uint64)
-            for i in range(min(WORDS, len(own))):
-                key = key * _MULTIPLIER + own[i : i + len(key)]
-            key = (key ^ key >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append(np.unique(key ^ key >> np.uint64(31)))
-        return out
+    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    raw = np.frombuffer(b" ".join(w for words in split for w in words), dtype=np.uint8)
+    ids = word_hashes(raw, *runs(raw != 32))
+    out, base = [], 0
+    for words in split:
+        own = ids[base : base + len(words)]
+        base += len(words)
+        key = np.zeros(max(1, len(own) - WORDS + 1) if len(own) else 0, dtype=np.uint64)
+        for i in range(min(WORDS, len(own))):
+            key = key * _MULTIPLIER + own[i : i + len(key)]
+        key = (key ^ key >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(np.unique(key ^ key >> np.uint64(31)))
+    return out
 
 
 def digest(shingles: np.ndarray) -> int:
@@ -70,9 +65,9 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return (keys ^ keys >> np.uint64(31)).view(np.int64).T
 
 
-def sketches(texts: list[str], shingler: Shingler) -> tuple[pa.Array, pa.Array, pa.Array]:
+def sketches(texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Digest, number of shingles and band keys of texts; an empty text has no keys."""
-    sets = shingler(texts)
+    sets = shingle_sets(texts)
     some = [i for i, x in enumerate(sets) if len(x)]
     keys: list = [[]] * len(sets)
     if some:
@@ -128,12 +123,10 @@ def links(sketched: DataFrame, rows: DataFrame, least: float = LEAST) -> DataFra
     blocks = F.when(F.col("total") <= GROUP_SHINGLES, 1).otherwise(F.ceil(F.col("total") / half)).cast("int")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j"))))
-    shingler: list[Shingler] = []
 
     def sets(batch: pa.RecordBatch):
-        shingler[:] = shingler or [Shingler()]
         for part in slices(batch, "text", 1 << 20):
-            found = shingler[0](part.column("text").to_pylist())
+            found = shingle_sets(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(map(digest, found), pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
     texts = rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi")

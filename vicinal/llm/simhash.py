@@ -93,13 +93,11 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
 def _sketched(rows: DataFrame) -> DataFrame:
     """``doc_id, fp`` and what ``shingles.links`` needs, in one pass over the texts."""
-    shingler: list[shingles.Shingler] = []
 
     def run(batch: pa.RecordBatch):
-        shingler[:] = shingler or [shingles.Shingler()]
         for part in slices(batch, "text", 1 << 20):
             texts = part.column("text").to_pylist()
-            columns = [part.column("doc_id"), pa.array(_fingerprints(texts).view(np.int64)), *shingles.sketches(texts, shingler[0])]
+            columns = [part.column("doc_id"), pa.array(_fingerprints(texts).view(np.int64)), *shingles.sketches(texts)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest", "n", "bands"])
 
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, digest long, n long, bands array<long>")
