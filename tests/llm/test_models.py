@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,6 +29,38 @@ def test_machine_learns_a_pair_that_no_weight_tells():
     assert p[0] < 0.3 and p[1] < 0.3 and p[2] > 0.7
 
 
+def test_machine_learns_a_pair_whose_terms_tell_nothing_alone():
+    """Toxic is one term without the other: no weight of either says anything."""
+    rng = random.Random(4)
+
+    def made(n):
+        rows = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(n)]
+        return [" ".join(["insult"] * a + ["group"] * b + [letters(rng.randrange(2000)) for _ in range(20)]) for a, b in rows], np.array([int(a != b) for a, b in rows])
+
+    texts, labels = made(6000)
+    model = toxicity.FactorizationMachine.fit([toxicity._terms(t) for t in texts], labels)
+    texts, labels = made(1000)
+    assert np.mean((model.scores(texts, model.slots()) >= 0.7) == labels) > 0.98
+
+
+def test_scores_by_brute_force(spark, make):
+    """Bias, single weights and the product of every pair of present terms, one by one."""
+    rng = np.random.default_rng(1)
+    words = [letters(i) for i in range(30)]
+    terms = np.sort(np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint32))
+    model = toxicity.FactorizationMachine(terms, -0.4, rng.normal(size=30), rng.normal(size=(30, 8)) / 4)
+    texts = [(i, " ".join(rng.choice(words, rng.integers(0, 12))).upper() + ", unknown 12 " + words[i] * (i % 2)) for i in range(20)] + [(90, None), (91, "x " * 9000 + words[3])]
+    place = {int(t): i for i, t in enumerate(terms)}
+    want = {}
+    for i, text in texts:
+        have = sorted({place[h] for w in (text or "").lower().replace(",", " ").split() if (h := zlib.crc32(w.encode())) in place})
+        total = model.bias + sum(model.weights[a] for a in have) + sum(model.factors[a] @ model.factors[b] for a in have for b in have if a < b)
+        want[i] = 1 / (1 + math.exp(-total))
+    got = {r.doc_id: r for r in toxicity.score(make(texts), model).collect()}
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want)
+    assert all(r.predicted == (r.score >= 0.7) for r in got.values())
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rest = F.crc32(F.col("doc_id").cast("string")) % 3

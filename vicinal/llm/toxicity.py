@@ -5,8 +5,10 @@ bias + single weights + inner products of the vectors of all pairs of present te
 insult next to a mention of a group can count for more than the two alone.
 
 The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, those with the least hash of
-their id; terms enter it that the labels tell apart (``MOST_TERMS`` at most). Null, empty and
-wordless texts get the score of a document without terms; repeated rows repeat; an empty table
+their id. Terms enter it whose own rate differs between the labels, and terms that tell nothing
+alone but together with another one: all terms of ``LEAST_ROWS`` rows or more are hashed into a
+table of ``PAIR_BUCKETS``, and the labels of the rows that hold both of two buckets are held against
+those of all rows and of either alone. Null, empty and wordless texts get the score of a document without terms; repeated rows repeat; an empty table
 gives an empty one; rows of null id or label are not learned from; without labelled rows all
 scores are the prior 1/2. Other columns are ignored, labels least of all read when scoring.
 """
@@ -23,9 +25,12 @@ from pyspark.sql import functions as F
 
 from vicinal.llm.common import WORD, WordCache, bounded, map_arrow, rows_of, slices
 
-SAMPLE_ROWS, MOST_TERMS, FACTORS, ROUNDS = 20_000, 2_000, 8, 300
+SAMPLE_ROWS, FACTORS, ROUNDS = 20_000, 8, 300
 #: Least z score of a term's rate among positive against negative rows.
 LEAST_Z = 5.0
+#: Buckets of the table of pairs, least rows of a term and of a pair in it, least
+#: z score of the labels of rows with both, and how much its square has to be above that of either.
+PAIR_BUCKETS, LEAST_ROWS, LEAST_PAIR_Z, GAIN = 4096, 64, 10.0, 4.0
 THRESHOLD = 0.7
 
 
@@ -33,6 +38,35 @@ def _terms(text: str) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(w.encode()) for w in set(WORD.findall(text.lower()))), dtype=np.uint32))
 
 
+def _interacting(at: np.ndarray, of: np.ndarray, rows_with: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which terms lie in a bucket that tells the labels apart together with another; ``at`` are terms, ``of`` their rows in order."""
+    slot = np.where(rows_with >= LEAST_ROWS, np.arange(len(rows_with)) % PAIR_BUCKETS, -1)
+    use = slot[at] >= 0
+    row, bucket = of[use], slot[at][use]
+    n = min(PAIR_BUCKETS, len(rows_with))
+    both, toxic = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for start in range(0, len(y), 1024):
+        low, high = np.searchsorted(row, [start, start + 1024])
+        x = np.zeros((min(1024, len(y) - start), n), np.float32)
+        x[row[low:high] - start, bucket[low:high]] = 1
+        both += x.T @ x
+        x = x[y[start : start + 1024] == 1]
+        toxic += x.T @ x
+    rate = y.mean()
+    enough = both >= LEAST_ROWS
+    toxic -= both * np.float32(rate)
+    np.maximum(both, 1, out=both)
+    squares = np.square(toxic, out=toxic)
+    squares /= both
+    squares /= np.float32(rate * (1 - rate))
+    alone = np.diag(squares).copy()
+    np.fill_diagonal(squares, 0)
+    telling = enough & (squares >= LEAST_PAIR_Z**2)
+    telling &= squares >= GAIN * alone[:, None]
+    telling &= squares >= GAIN * alone[None]
+    return (slot >= 0) & telling.any(0)[slot]
+
+
 @dataclass(frozen=True)
 class FactorizationMachine:
     """``terms`` sorted hashes; ``bias + w.x + sum over pairs of <v_i, v_j>``."""
@@ -60,8 +94,7 @@ class FactorizationMachine:
         c = np.bincount(at, minlength=len(known))
         rate = c / len(y)
         z = (c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
-        picked = np.flatnonzero((np.abs(z) >= LEAST_Z) & (c >= 5))
-        picked = np.sort(picked[np.lexsort((known[picked], -np.abs(z[picked])))[:MOST_TERMS]])
+        picked = np.flatnonzero((np.abs(z) >= LEAST_Z) & (c >= 5) | _interacting(at, of, c, y))
         if not len(picked):
             return none
         slot = np.full(len(known), -1)
