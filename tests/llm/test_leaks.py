@@ -77,10 +77,44 @@ def leaks(docs, items, spark):
 def test_leaks_of_odd_rows(spark, make, odd, none, monkeypatch):
     rows = [(20 + i, f"some words before {t.upper()} and after.") for i, t in ITEMS] + [(50, " ".join(t for _, t in ITEMS)), (51, "clean words " * 50)]
     want = [(20 + i, i, 0) for i, _ in ITEMS] + [(50, i, 0) for i, _ in ITEMS]
-    items = [*ITEMS, (90, None), (91, ""), (92, "clean words")]
+    items = [*ITEMS, (90, None), (91, ""), (92, "clean words"), (93, " -- ")]
+    want = sorted([*want, (51, 92, 0)])
     assert leaks(make(rows + ODD), items, spark) == want
-    monkeypatch.setattr(d, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(d, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(d, "TURN_BYTES", 3000)
     assert leaks(make(rows + ODD), items, spark) == want
     assert leaks(none, items, spark) == [] and leaks(odd, [], spark) == []
-    bench = spark.createDataFrame(items, "item_id int, text string")
+    bench = spark.createDataFrame(items[:-2], "item_id int, text string")
     assert sorted((r.doc_id or 0) for r in d.keep_clean(make(rows + ODD), bench).collect()) == sorted([*((i or 0) for i, _ in ODD), 51])
+
+
+def test_short_items_are_found_verbatim(spark, make):
+    """Items of one to four words, by looking through every text; words that share a hash's low bits or parts are none."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(words, k=1 + i % 4))) for i in range(60)] + [(70, "日本"), (71, "Alpha beta, gamma delta")]
+    rows = [(i, ", ".join(rng.choices(words, k=rng.randint(0, 30))).upper()) for i in range(80)] + [(90, "x 日本 y"), (91, "alpha beta gamma delta"), (92, "alpha beta gamma"), (93, "日本語")]
+    plain_words = {i: "".join(c if c.isalnum() else " " for c in t.lower()).split() for i, t in [*rows, *((1000 + i, t) for i, t in items)]}
+    want = []
+    for i, _ in rows:
+        for j, _ in items:
+            item, text = plain_words[1000 + j], plain_words[i]
+            if any(text[k : k + len(item)] == item for k in range(len(text))):
+                want.append((i, j, 0))
+    assert leaks(make(rows), items, spark) == sorted(want) and len(want) > 300
+
+
+def test_blocks_of_items_take_one_scan(spark, make, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_BYTES", 200)
+    docs, bench = make([(1, ITEMS[3][1])]), spark.createDataFrame([(i, t) for i, t in ITEMS] * 3, "item_id int, text string")
+    assert len(list(d.item_blocks(bench, "item_id", "text", 200))) > 10
+    for found in (d.leaks(docs, bench), d.keep_clean(docs, bench)):
+        assert found._jdf.queryExecution().toString().split("Physical Plan")[1].count("MapInArrow") == 1
+
+
+def test_equal_hashes_of_different_words_are_no_find():
+    """Finds are confirmed by the words themselves."""
+    item = " ".join(f"w{k}" for k in range(30))
+    index, texts = d.ItemIndex([(1, item), (2, "one two")]), d.Numbered(["x " + item, "one two"])
+    assert [x[:3] for x in index.search(texts.ids, texts.words)] == [(0, 0, 0), (1, 1, 0)]
+    assert index.search(texts.ids, lambda text, low, high: [b"other"] * (high - low)) == []
