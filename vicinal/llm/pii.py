@@ -9,12 +9,14 @@ format is dropped.
 
 Offsets count code points, ends are exclusive. Null and empty texts have no spans; repeated
 rows repeat; an empty table gives an empty one; other columns are ignored. Patterns use
-possessive repeats, so long texts take linear time and no deep recursion.
+possessive repeats, and what is worked out along a text is gathered in blocks of ``BLOCK`` spans,
+so texts of many spans take time in proportion to their length.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -26,9 +28,11 @@ from vicinal.llm.common import rows_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-#: Least precision on the calibration rows that a kind's threshold has to give.
+#: Least precision on rows kept for the thresholds that a kind's threshold has to give.
 LEAST_PRECISION = 0.97
 CONTEXT, JUDGED = 40, 128
+#: Spans that are gathered in one array at a time, and code points of the parts that a text is cut into for redaction.
+BLOCK, PART = 128, 2048
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 # The fixed formats. A local part is tried where its run begins or a match has just ended, a
@@ -65,33 +69,62 @@ FEATURES = 11 + len(_CUES) + len(KINDS)
 _SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """``state, out``: the last state, and what the steps gave for each item, in arrays of ``BLOCK`` of type ``kind``.
+
+    A step takes the state and an item and gives the next state and a result. One array that grew by
+    an element a step would be copied at every step.
+    """
+
+    def one(acc: Column, item: Column) -> Column:
+        state, out = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def over(held: Column) -> Column:
+        none = F.struct(first.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+
+        def block(acc: Column, i: Column) -> Column:
+            begin = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+            places = F.sequence(i * BLOCK, F.least(i * BLOCK + BLOCK, F.size(held)) - 1)  # a slice would copy the whole array first
+            joined = lambda m: F.struct(m["state"].alias("state"), F.concat(acc["out"], F.array(m["out"])).alias("out"))
+            return F.aggregate(places, begin, lambda inner, k: one(inner, F.get(held, k)), joined)
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(held) > 0, F.aggregate(blocks, none, block)).otherwise(none)
+
+    return _once(items, over)
+
+
 def _marked(text: Column, pattern: str, needs: str) -> Column:
     """Matches with their places: the text is split around marked matches, lengths are summed up."""
     clean = F.translate(text, "\x01\x02", "\x03\x03")
     pieces = F.split(F.regexp_replace(clean, pattern, "\x01$0\x02"), "[\x01\x02]")
 
     def places(p: Column) -> Column:
-        starts = F.aggregate(p, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + F.length(x))))
-        return F.transform(
-            F.array(F.struct(p.alias("p"), starts.alias("s"))),
-            lambda both: F.when(
-                F.size(both["p"]) > 2,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(both["p"]) - 2, F.lit(2)),
-                    lambda i: F.struct(
-                        F.get(both["s"], i).alias("start"),
-                        F.get(both["s"], i + 1).alias("end"),
-                        F.get(both["p"], i).alias("value"),
-                        F.substring(F.get(both["p"], i - 1), -CONTEXT, CONTEXT).alias("before"),
-                        F.substring(F.get(both["p"], i + 1), 1, 1).alias("after"),
-                    ),
+        starts = F.flatten(_scan(p, F.lit(0), lambda at, x: (at + F.length(x), at), "int")["out"])
+        return _once(
+            F.struct(p.alias("p"), starts.alias("s")),
+            lambda both: F.transform(
+                F.sequence(F.lit(1), F.size(both["p"]) - 2, F.lit(2)),
+                lambda i: F.struct(
+                    F.get(both["s"], i).alias("start"),
+                    F.get(both["s"], i + 1).alias("end"),
+                    F.get(both["p"], i).alias("value"),
+                    F.substring(F.get(both["p"], i - 1), -CONTEXT, CONTEXT).alias("before"),
+                    F.substring(F.get(both["p"], i + 1), 1, 1).alias("after"),
                 ),
-            ).otherwise(F.array().cast(_SPANS)),
-        )[0]
+            ),
+        )
 
-    found = F.transform(F.array(pieces), places)[0]
+    none = F.array().cast(_SPANS)
+    found = _once(pieces, lambda p: F.when(F.size(p) > 2, places(p)).otherwise(none))
     holds = F.contains(text, F.lit(needs)) if needs == "@" else F.rlike(text, F.lit(needs))
-    return F.when(holds, found).otherwise(F.array().cast(_SPANS))
+    return F.when(holds, found).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -205,8 +238,8 @@ def model(spark: SparkSession) -> tuple[BoostedTrees, dict[str, float]]:
         order = np.random.default_rng(5).permutation(len(rows))
         x, y = np.array([rows[i][2] for i in order]), np.array([rows[i][1] for i in order], dtype=float)
         kinds = np.array([rows[i][0] for i in order])
-        trees = BoostedTrees.fit(x, y)
-        held = np.arange(len(x)) % 3 == 2
+        held = np.arange(len(x)) % 4 == 3  # neither the trees nor their calibration see the rows that set the thresholds
+        trees = BoostedTrees.fit(x[~held], y[~held])
         p, limits = trees.probability(x), {}
         for kind in KINDS:
             own = held & (kinds == kind)
@@ -216,6 +249,41 @@ def model(spark: SparkSession) -> tuple[BoostedTrees, dict[str, float]]:
     return _models[key]
 
 
+# -- selection --------------------------------------------------------------------------------
+_ONE = "struct<start:int,end:int,kind:string,p:double>"
+_ADDED = f"array<{_ONE}>"
+
+
+def _apart(proposed: Column, taken: Column) -> Column:
+    """The proposals that overlap none of the spans in ``taken``: one pass for those that begin before, one for those after."""
+    void = F.lit(None).cast(_ONE)
+    fixed = F.transform(taken, lambda c: F.struct(c["start"].alias("start"), F.lit(0).alias("rank"), c["end"].alias("end"), void.alias("c")))
+    loose = F.transform(proposed, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("rank"), c["end"].alias("end"), c.alias("c")))
+
+    def after(reach: Column, x: Column) -> tuple[Column, Column]:
+        none = F.lit(None).cast(f"struct<start:int,rank:int,end:int,c:{_ONE}>")
+        return F.when(x["rank"] == 0, F.greatest(reach, x["end"])).otherwise(reach), F.when((x["rank"] == 0) | (x["start"] >= reach), x).otherwise(none)
+
+    def before(begin: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["rank"] == 0, x["start"]).otherwise(begin), F.when((x["rank"] == 1) & (x["end"] <= begin), x["c"]).otherwise(void)
+
+    ordered = F.array_sort(F.concat(fixed, loose), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
+    ahead = F.array_compact(F.flatten(_scan(ordered, F.lit(0), after, f"struct<start:int,rank:int,end:int,c:{_ONE}>")["out"]))
+    back = F.array_compact(F.flatten(_scan(F.reverse(ahead), F.lit((1 << 31) - 1), before, _ONE)["out"]))
+    return F.when(F.size(taken) > 0, back).otherwise(proposed)
+
+
+def _likeliest(spans: Column) -> Column:
+    """Of spans that overlap the one before, in order of their start, the one of higher probability."""
+    none = F.lit(None).cast(_ONE)
+
+    def step(last: Column, c: Column) -> tuple[Column, Column]:
+        free = last.isNull() | (c["start"] >= last["end"])
+        return F.when(free | (c["p"] > last["p"]), c).otherwise(last), F.when(free, last).otherwise(none)
+
+    return _once(_scan(F.array_sort(spans), none, step, _ONE), lambda r: F.array_compact(F.concat(F.flatten(r["out"]), F.array(r["state"]))))
+
+
 # -- operator ---------------------------------------------------------------------------------
 def find(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text``, a column ``base_<kind>`` of each fixed format and ``added``, arrays of spans."""
@@ -245,18 +313,7 @@ def find(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
 
     proposed = [selected(kind, found) for kind, found in _proposals(text)]
     rows = rows.select("*", F.concat(*proposed).alias("proposed"), taken.alias("taken"))
-    free = F.filter("proposed", lambda c: ~F.exists("taken", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,p:double>>")
-
-    def sweep(kept: Column, c: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (
-            F.when((F.size(kept) == 0) | (c["start"] >= last["end"]), F.concat(kept, F.array(c)))
-            .when(c["p"] > last["p"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(c)))
-            .otherwise(kept)
-        )
-
-    added = F.when(F.size("proposed") > 0, F.aggregate(F.array_sort(free), none, sweep)).otherwise(none)
+    added = F.when(F.size("proposed") > 0, _likeliest(_apart(F.col("proposed"), F.col("taken")))).otherwise(F.array().cast(_ADDED))
     return rows.select(*[f"kept_{c}" for c in keep], "doc_id", "text", *[f"base_{kind}" for kind in BASE_KINDS], added.alias("added"))
 
 
@@ -285,17 +342,19 @@ def redacted() -> Column:
         tag = F.lit(f"[{kind.upper()}]").alias("tag")
         return F.transform(spans_of(kind), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), tag))
 
-    spans = F.array_sort(F.concat(*map(tagged, KINDS)))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
+    def cut(parts: Column, low: Column, high: Column) -> Column:
+        i, j = (F.floor(x / PART).cast("int") for x in (low, high))
+        first = F.substring(F.get(parts, i), low % PART + 1, F.when(i == j, high - low).otherwise(PART))
+        rest = F.concat(F.array_join(F.slice(parts, i + 2, j - i - 1), ""), F.coalesce(F.substring(F.get(parts, j), F.lit(1), high % PART), F.lit("")))
+        return F.concat(F.coalesce(first, F.lit("")), F.when(i == j, F.lit("")).otherwise(rest))
 
-    def step(acc: Column, c: Column) -> Column:
-        between = F.substring(F.col("text"), acc["pos"] + 1, c["start"] - acc["pos"])
-        return F.when(
-            c["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], c["end"]).alias("pos"), acc["parts"].alias("parts"))
-        ).otherwise(F.struct(c["end"].alias("pos"), F.concat(acc["parts"], F.array(between, c["tag"])).alias("parts")))
+    def whole(parts: Column) -> Column:
+        def step(at: Column, c: Column) -> tuple[Column, Column]:
+            inside = c["start"] < at
+            return F.greatest(at, c["end"]), F.when(inside, F.lit("")).otherwise(F.concat(cut(parts, at, c["start"]), c["tag"]))
 
-    def finish(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["pos"] + 1, F.length("text")))), "")
+        done = _scan(F.array_sort(F.concat(*map(tagged, KINDS))), F.lit(0), step, "string")
+        return _once(done, lambda r: F.concat(F.array_join(F.flatten(r["out"]), ""), cut(parts, r["state"], F.length("text"))))
 
     some = reduce(lambda a, b: a | b, [F.size(f"base_{kind}") > 0 for kind in BASE_KINDS]) | (F.size("added") > 0)
-    return F.when(some, F.aggregate(spans, start, step, finish)).otherwise(F.col("text"))
+    return F.when(some, _once(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), whole)).otherwise(F.col("text"))
