@@ -1,6 +1,7 @@
 """Golden orders, errors, and every registered query against its SQL."""
 
 import math
+from dataclasses import replace
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal.functions import cosine_distance, l2_distance, manhattan_distance, register
-from vicinal.operators import AnnIndex, knn_join, nearest
+from vicinal.operators import AnnIndex, knn_join, near_join, nearest
+from vicinal.operators import index as index_module
 from vicinal.operators.graph import ShardGraph
 from vicinal.plans import choose_strategy, rewrite, search, sql
 from vicinal.queries import oracle_sql, queries
@@ -98,6 +100,103 @@ def test_sql_surface(spark):
     assert [r.id for r in found] == [2, 5]
 
 
+# Statements and what Spark gets of them.
+STATEMENTS = {
+    "SELECT 'array[1,2]' -- array[1]\n, /* a <-> b */ \"x <-> y\"": None,
+    "SELECT 'it''s <-> x', `a <-> b` FROM t": None,
+    "v <-> -1": "l2_distance(v, -1)",
+    "y[1][2] <-> z": "l2_distance(y[1][2], z)",
+    "array[[1,2],[3,4]] <-> v": "l2_distance(flatten(array(array(1,2),array(3,4))), v)",
+    "v <-> '{1,2}'::real[]": "l2_distance(v, array(1,2)::ARRAY<FLOAT>)",
+    "'{1,2,3}' <=> v::double precision[]": "cosine_distance(array(1,2,3), v::ARRAY<DOUBLE>)",
+    "f(x <-> y, 2) <~> g(z)[1]": "manhattan_distance(f(l2_distance(x, y), 2), g(z)[1])",
+    "WHERE (a) <-> (b) < 3": "WHERE l2_distance((a), (b)) < 3",
+    "a.b <-> `q r`.`s`": "l2_distance(a.b, `q r`.`s`)",
+}
+
+
+@pytest.mark.parametrize("text", STATEMENTS)
+def test_statements(text):
+    assert rewrite(text) == (STATEMENTS[text] or text)
+
+
+def test_statements_run(spark):
+    small(spark).createOrReplaceTempView("t")
+    found = sql(spark, "SELECT id, val <-> '{3,3,3}' AS a, '{3,3,3}'::real[] <-> val AS b, val <-> array[[3],[3],[3]] AS c FROM t WHERE id = 5").first()
+    assert found.a == found.b == found.c == pytest.approx(6**0.5)
+    assert sql(spark, "SELECT 'array[1,2]' AS x -- <->").first().x == "array[1,2]"
+
+
+@pytest.mark.parametrize("norm", [1, 100, 10_000])
+@pytest.mark.parametrize("metric", ["l2", "cosine", "manhattan"])
+def test_joins_of_near_duplicates_by_brute_force(spark, norm, metric):
+    """Vectors that hardly differ: the order is that of the differences, not of what products leave of them."""
+    rng = np.random.default_rng(norm)
+    data = (norm * (1 + rng.normal(size=(600, 64)) * 1e-6)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, val array<float>")
+    asked = df.filter("id % 60 = 0")
+    exact = data.astype(np.float64)
+    want, near = set(), set()
+    for q in range(0, 600, 60):
+        d = np.array([{"l2": math.dist(exact[q], x), "manhattan": np.abs(exact[q] - x).sum(), "cosine": 1 - (exact[q] * x).sum() / (np.sqrt((x**2).sum()) * np.sqrt((exact[q] ** 2).sum()))}[metric] for x in exact])
+        kth = np.sort(d)[4]
+        want.add((q, tuple(np.flatnonzero(d < kth * (1 - 1e-9) - 1e-15))))
+        near |= {(q, int(i)) for i in np.flatnonzero(d < np.median(d))}
+        radius = np.median(d)
+    got = {}
+    for r in knn_join(df, asked, 5, metric=metric, base_id="id", base_vector="val", query_id="id", query_vector="val").collect():
+        got.setdefault(r.query_id, set()).add(r.base_id)
+    assert all(len(got[q]) == 5 and set(ids) <= got[q] for q, ids in want)
+    if metric == "l2":
+        found = near_join(df, asked, radius, base_id="id", base_vector="val", query_id="id", query_vector="val").collect()
+        due = {(q, i): math.dist(exact[q], exact[i]) for q in range(0, 600, 60) for i in range(600)}
+        assert {(r.query_id, r.base_id) for r in found} == {pair for pair, d in due.items() if d < radius}
+        assert all(r.distance == pytest.approx(due[r.query_id, r.base_id], rel=1e-9, abs=1e-12) for r in found)
+
+
+def test_many_inserts_and_deletes_keep_plans_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index_module, "MOST_SMALL", 3)
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, val array<float>")
+    index = AnnIndex.build(df.limit(0), f"file://{tmp_path}/i", id_column="id", column="val", dims=4)
+    for k in range(6):
+        index.insert(df.filter(f"id >= {10 * k} AND id < {10 * k + 10}"), id_column="id", column="val")
+        index.delete(df.filter(f"id = {10 * k + 3}"), "id")
+        assert len(index._meta.nodes) <= 4
+    live = {i for i in range(60) if i % 10 != 3}
+    assert {r.row_id for r in AnnIndex.load(spark, index.path).rows().collect()} == live
+    found = index.search([0.0] * 4, 5)
+    best = sorted(live, key=lambda i: float((data[i].astype(np.float32) ** 2).sum()))[:5]
+    assert [r.row_id for r in found.orderBy("rank").collect()] == best
+    plan = index._beam([0], np.zeros((1, 4)), 4)._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert plan.count("Scan parquet") == 2 and plan.count("MapInArrow") == 1
+
+
+def test_failures_have_their_names(spark, tmp_path, monkeypatch):
+    index = AnnIndex.build(small(spark), f"file://{tmp_path}/i", id_column="id", column="val", dims=3)
+    broken = spark.read.parquet(f"{index.path}/nodes/gen=1").withColumn("links", F.lit(b"\xff\xff\xff\x7f" * 12))
+    broken.write.parquet(f"{index.path}/nodes/gen=9")
+    bad = AnnIndex(spark, index.path, replace(index._meta, nodes={"9": 4}))
+    with pytest.raises(Exception, match="HNSW index search failed"):
+        bad.search(Q, 2).collect()
+
+
+def test_graph_invariants():
+    rng = np.random.default_rng(9)
+    graph = ShardGraph(rng.normal(size=(300, 6)), "l2", m=4, efconstruction=12)
+    for node, links in enumerate(graph.links):
+        assert len(links) <= 8 and node not in links and len(set(links.tolist())) == len(links)
+        assert ((links >= 0) & (links < 300)).all()
+
+
+def test_search_reads_shards_in_place(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, val array<float>")
+    index = AnnIndex.build(df, f"file://{tmp_path}/i", id_column="id", column="val", dims=2, shard_rows=10)
+    plan = index._beam([0], np.zeros((1, 2)), 4)._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert "Exchange" not in plan and [r.row_id for r in index.search([0.0, 1.0], 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
 def test_strategy(spark, tmp_path):
     df = small(spark)
     index = AnnIndex.build(df, f"file://{tmp_path}/i", id_column="id", column="val", dims=3)
@@ -160,6 +259,7 @@ def test_query_matches_sql(spark, name):
     if name not in oracle_sql():
         assert len(rows) == 10
         return
+    assert rows
     want = con.sql(oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(rows, got.columns) == canonical(want.fetchall(), want.columns)

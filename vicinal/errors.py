@@ -3,6 +3,8 @@
 # Texts that callers of the original SQL surface match on.
 DIFFERENT_DIMENSIONS = "different array dimensions %d and %d"
 WRONG_DIMENSIONS = "Wrong number of dimensions: %d instead of %d expected"
+INSERT_FAILED = "HNSW index insert failed"
+SEARCH_FAILED = "HNSW index search failed"
 DIMS_REQUIRED = "HNSW index requires 'dims' to be specified"
 
 

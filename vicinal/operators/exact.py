@@ -50,24 +50,34 @@ def range_search(df: DataFrame, column: str, query, radius: float, *, metric: st
     return with_distance(df, column, query, metric, name).filter(F.col(name) < radius)
 
 
-def pairwise(metric: str, queries: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Distances of every query (row) to every base vector (column), in double precision."""
+def pairwise(metric: str, queries: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Keys of every query (row) and base vector (column) in the order of their distance, and how far each may be off.
+
+    For L2 the keys are squares put together from norms and products. Where these cancel, the error
+    is in proportion to the norms, not to the distance.
+    """
+    unit = 4 * (queries.shape[1] + 8) * np.finfo(float).eps
     if metric == "l2":
-        rough = (queries**2).sum(1)[:, None] + (base**2).sum(1) - 2 * queries @ base.T
-        return np.sqrt(np.maximum(rough, 0))
+        norms = (queries**2).sum(1)[:, None] + (base**2).sum(1)
+        return norms - 2 * queries @ base.T, unit * norms
     if metric == "cosine":
         with np.errstate(invalid="ignore", divide="ignore"):
-            return 1 - queries @ base.T / (np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((base**2).sum(1)))
+            return 1 - queries @ base.T / (np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((base**2).sum(1))), unit
     if metric == "manhattan":
-        return np.stack([np.abs(base - q).sum(1) for q in queries]) if len(queries) else np.zeros((0, len(base)))
+        return np.stack([np.abs(base - q).sum(1) for q in queries]) if len(queries) else np.zeros((0, len(base))), 0.0
     raise ValueError(f"unknown metric {metric!r}")
 
 
 def exact_rows(metric: str, query: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Distances of one query to rows, by differences: free of the cancellation that products have."""
+    """Distances of a query, or of one query for each row, to rows: summed row by row, so equal rows have equal distances."""
     if metric == "l2":
-        return np.sqrt(((base - query) ** 2).sum(1))
-    return pairwise(metric, query[None], base)[0]
+        return np.sqrt(((base - query) ** 2).sum(-1))
+    if metric == "manhattan":
+        return np.abs(base - query).sum(-1)
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1 - (base * query).sum(-1) / (np.sqrt((base**2).sum(-1)) * np.sqrt((query**2).sum(-1)))
+    raise ValueError(f"unknown metric {metric!r}")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int | None = None) -> np.ndarray:
@@ -106,14 +116,43 @@ def query_blocks(queries: DataFrame, id_column: str, column: str) -> Iterator[tu
         yield ids, np.array(vectors, dtype=np.float64).reshape(len(vectors), -1)
 
 
-def best_of(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k least distances and of all that tie with the last of them."""
-    if len(dist) <= k:
-        return np.arange(len(dist))
-    order = np.where(np.isnan(dist), np.inf, dist)
-    limit = np.partition(order, k - 1)[k - 1]
-    close = np.flatnonzero(order <= limit + 1e-9 * max(1.0, abs(limit)) if np.isfinite(limit) else np.ones(len(order), bool))
-    return close[np.lexsort((ids[close], order[close]))]
+def best_of(keys: np.ndarray, slack: np.ndarray | float, k: int) -> np.ndarray:
+    """Positions that may be among the k least: no k others are surely below them. NaN counts as infinite."""
+    if len(keys) <= k:
+        return np.arange(len(keys))
+    keys = np.where(np.isnan(keys), np.inf, keys)
+    limit = np.partition(keys + slack, k - 1)[k - 1]
+    return np.flatnonzero(keys - slack <= limit)
+
+
+def near_join(base: DataFrame, queries: DataFrame, radius: float, *, metric: str = "l2", base_id: str, base_vector: str, query_id: str, query_vector: str) -> DataFrame:
+    """``query_id, base_id, distance`` of all pairs closer than ``radius``; stated queries in blocks, each against all rows.
+
+    Pairs that are surely too far by products are left out, all others are computed by differences.
+    """
+    spark = base.sparkSession
+    q_type, b_type = queries.schema[query_id].dataType.simpleString(), base.schema[base_id].dataType.simpleString()
+    schema = f"query_id {q_type}, base_id {b_type}, distance double"
+    rows = base.select(F.col(base_id).alias("id"), vector_column(base, base_vector).alias("v")).filter("v is not null")
+    found = spark.createDataFrame([], schema)
+    limit = radius**2 if metric == "l2" else radius
+    for ids, vectors in query_blocks(queries, query_id, query_vector):
+        shared = spark.sparkContext.broadcast((ids, vectors))
+
+        def near(batches, shared=shared):
+            names, wanted = shared.value
+            for batch in batches:
+                have = matrix(batch.column("v"), wanted.shape[1])
+                for begin in range(0, len(wanted), 256):
+                    keys, slack = pairwise(metric, wanted[begin : begin + 256], have)
+                    i, j = np.nonzero(keys - slack < limit)
+                    d = exact_rows(metric, wanted[begin + i], have[j])
+                    close = np.flatnonzero(d < radius)
+                    own = [names[begin + x] for x in i[close].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("id").take(pa.array(j[close])), pa.array(d[close])], names=["query_id", "base_id", "distance"])
+
+        found = found.unionByName(rows.mapInArrow(near, schema))
+    return found
 
 
 def knn_join(
@@ -146,10 +185,10 @@ def knn_join(
             for batch in batches:
                 have = matrix(batch.column("v"), wanted.shape[1])
                 own = np.array(batch.column("id").to_pylist())
-                rough = pairwise(metric, wanted, have)
-                picked = [best_of(d, own, k) for d in rough]
+                keys, slack = pairwise(metric, wanted, have)
+                picked = [best_of(d, s, k) for d, s in zip(keys, np.broadcast_to(slack, keys.shape), strict=True)]
                 exact = [exact_rows(metric, q, have[p]) for q, p in zip(wanted, picked, strict=True)]
-                exact_order = [np.lexsort((own[p], d))[:k] for p, d in zip(picked, exact, strict=True)]
+                exact_order = [np.lexsort((own[p], np.where(np.isnan(d), np.inf, d)))[:k] for p, d in zip(picked, exact, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([n for n, o in zip(names, exact_order, strict=True) for _ in o]),

@@ -1,8 +1,12 @@
 """Approximate nearest-neighbour index: one graph per shard, stored as Parquet.
 
-Layout below the index path: ``nodes/gen=N`` (shard, node, row_id, embedding, neighbors),
+Layout below the index path: ``nodes/gen=N`` (a row per shard: ids, vectors and links, packed),
 ``deleted/gen=N`` (row_id, upto) and ``meta/gen=N`` (one JSON row; the latest holds). Every
 change adds files and a new ``meta`` row, so a failed writer leaves the index as it was.
+
+A search reads the shards where they lie, with no exchange; only the k best of each come together.
+However many inserts and deletes there were, it is one scan of nodes and one of tombstones, and
+small generations are merged when they are more than ``MOST_SMALL``.
 """
 
 from __future__ import annotations
@@ -13,15 +17,21 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.errors import DIMS_REQUIRED, WRONG_DIMENSIONS, IndexDataError, IndexOptionError
+from vicinal.errors import DIMS_REQUIRED, INSERT_FAILED, SEARCH_FAILED, WRONG_DIMENSIONS, IndexDataError, IndexOptionError
 from vicinal.functions.distance import METRICS, vector_column
 from vicinal.operators.exact import exact_rows, query_blocks
 from vicinal.operators.graph import ShardGraph
+from vicinal.sources import stored
 
-_NODES = "shard int, node int, row_id long, embedding array<float>, neighbors array<int>"
+_NODES = "shard int, row_ids binary, vectors binary, degrees binary, links binary"
+#: Generations with less than a full shard that may be there before they are merged.
+MOST_SMALL = 16
+#: Bytes of shards that one Arrow batch takes to a worker, unless one shard is larger.
+BATCH_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -52,7 +62,7 @@ class _Meta:
     shards: int = 0
     rows: int = 0
     largest: int = 0
-    nodes: list[int] = field(default_factory=list)
+    nodes: dict[str, int] = field(default_factory=dict)  # rows by generation
     deleted: list[int] = field(default_factory=list)
 
 
@@ -105,41 +115,48 @@ class AnnIndex:
 
         def graph_of(key, part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("row_id", kind="stable")
-            vectors = np.array(part.embedding.tolist(), dtype=np.float64).reshape(len(part), -1)
-            graph = ShardGraph(vectors, options.metric, options.m, options.efconstruction)
-            return pd.DataFrame(
-                {
-                    "shard": np.int32(key[0]),
-                    "node": np.arange(len(part), dtype=np.int32),
-                    "row_id": part.row_id.to_numpy(),
-                    "embedding": part.embedding.to_numpy(),
-                    "neighbors": graph.links,
-                }
-            )
+            vectors = np.array(part.embedding.tolist(), dtype=np.float32).reshape(len(part), -1)
+            try:
+                graph = ShardGraph(vectors.astype(np.float64), options.metric, options.m, options.efconstruction)
+            except Exception as error:
+                raise RuntimeError(INSERT_FAILED) from error
+            packed = [part.row_id.to_numpy(np.int64), vectors, np.array([len(x) for x in graph.links], np.int32), np.concatenate(graph.links).astype(np.int32)]
+            return pd.DataFrame([[int(key[0]), *(x.tobytes() for x in packed)]], columns=["shard", "row_ids", "vectors", "degrees", "links"])
 
         placed = rows.withColumn("shard", (F.pmod(F.xxhash64("row_id"), F.lit(shards)) + first).cast("int"))
         nodes = placed.groupBy("shard").applyInPandas(graph_of, _NODES)
         nodes.write.parquet(f"{self.path}/nodes/gen={generation}")
-        largest = self._read_nodes([generation]).groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+        largest = self._read_nodes([generation]).agg(F.max(F.length("row_ids") / 8)).first()[0] or 0
         self._commit(
             replace(
                 self._meta,
                 generation=generation,
                 shards=first + shards,
                 rows=self._meta.rows + count,
-                largest=max(self._meta.largest, largest),
-                nodes=[*self._meta.nodes, generation],
+                largest=max(self._meta.largest, int(largest)),
+                nodes={**self._meta.nodes, str(generation): count},
             )
         )
 
     def insert(self, df: DataFrame, *, id_column: str, column: str) -> None:
         """Add rows as new shards."""
         self._append(df, id_column, column)
+        small = [int(g) for g, n in self._meta.nodes.items() if n < self.options.shard_rows]
+        if len(small) > MOST_SMALL:
+            self._merge(small)
+
+    def _merge(self, generations: Sequence[int]) -> None:
+        """Put the live rows of some generations into one; their files stay for searches under way."""
+        live = self._alive(self._spread(self._read_nodes(generations))).select("row_id", "embedding")
+        kept = {g: n for g, n in self._meta.nodes.items() if int(g) not in generations}
+        fresh = AnnIndex(self.spark, self.path, replace(self._meta, nodes=kept, rows=sum(kept.values())))
+        fresh._append(live, "row_id", "embedding")
+        self._meta = fresh._meta
 
     def delete(self, ids: DataFrame, id_column: str) -> None:
         """Mark rows as deleted. Their nodes stay in the graph as stepping stones until ``compact``."""
         generation = self._meta.generation + 1
-        dead = ids.select(F.col(id_column).cast("long").alias("row_id"), F.lit(self._meta.generation).alias("upto"))
+        dead = ids.select(F.col(id_column).cast("long").alias("row_id"), F.lit(self._meta.generation).cast("int").alias("upto"))
         dead.write.parquet(f"{self.path}/deleted/gen={generation}")
         self._commit(replace(self._meta, generation=generation, deleted=[*self._meta.deleted, generation]))
 
@@ -171,25 +188,39 @@ class AnnIndex:
 
     # -- reading ------------------------------------------------------------------------
     def _read_nodes(self, generations: Sequence[int]) -> DataFrame:
+        """The shards of some generations, one scan, with the generation of each."""
+        name = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if int(str(self.spark.conf.get(name)).rstrip("bB") or 0) > BATCH_BYTES:
+            self.spark.conf.set(name, BATCH_BYTES)
         if not generations:
-            return self.spark.createDataFrame([], _NODES + ", gen int")
-        parts = [
-            self.spark.read.schema(_NODES).parquet(f"{self.path}/nodes/gen={g}").withColumn("gen", F.lit(g)) for g in generations
-        ]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+            return self.spark.createDataFrame([], f"{_NODES}, gen int")
+        paths = [f"{self.path}/nodes/gen={g}" for g in generations]
+        return self.spark.read.schema(f"{_NODES}, gen int").option("basePath", f"{self.path}/nodes").parquet(*paths)
+
+    def _spread(self, nodes: DataFrame) -> DataFrame:
+        """``row_id, embedding, gen`` of every row of the shards."""
+        dims = self.options.dims
+
+        def rows(batches):
+            for batch in batches:
+                for gen, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("gen", "row_ids", "vectors")), strict=True):
+                    own = pa.array(np.frombuffer(ids, np.int64))
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * dims), pa.array(np.frombuffer(vectors, np.float32)))
+                    yield pa.RecordBatch.from_arrays([own, listed, pa.array(np.full(len(own), gen, np.int32))], names=["row_id", "embedding", "gen"])
+
+        return nodes.mapInArrow(rows, "row_id long, embedding array<float>, gen int")
 
     def _alive(self, found: DataFrame) -> DataFrame:
-        for g in self._meta.deleted:
-            dead = self.spark.read.parquet(f"{self.path}/deleted/gen={g}").withColumnRenamed("row_id", "dead_id").distinct()
-            found = found.join(dead, (F.col("row_id") == F.col("dead_id")) & (F.col("gen") <= F.col("upto")), "left_anti")
-        return found
+        """Rows without a tombstone that is later than they are; one join, however many deletes there were."""
+        if not self._meta.deleted:
+            return found
+        paths = [f"{self.path}/deleted/gen={g}" for g in self._meta.deleted]
+        dead = self.spark.read.schema("row_id long, upto int").parquet(*paths).groupBy(F.col("row_id").alias("dead_id")).agg(F.max("upto").alias("upto"))
+        return found.join(dead, (F.col("row_id") == F.col("dead_id")) & (F.col("gen") <= F.col("upto")), "left_anti")
 
     def rows(self) -> DataFrame:
         """The live rows: row_id, embedding."""
-        return self._alive(self._read_nodes(self._meta.nodes)).select("row_id", "embedding")
+        return self._alive(self._spread(self._read_nodes([*map(int, self._meta.nodes)]))).select("row_id", "embedding")
 
     def count(self) -> int:
         return self.rows().count()
@@ -209,8 +240,8 @@ class AnnIndex:
         """``query_id, row_id, distance, rank`` by distance, ties by row id.
 
         ``queries`` is one vector or a table of them. Every shard is searched with the beam
-        ``ef`` (``efsearch`` if not given). With ``k``, the beam is doubled while a query has fewer
-        than k live rows (of those in ``allowed``, if given) and wider beams may reach more.
+        ``ef`` (``efsearch`` if not given). With ``k``, the beam of the queries with fewer than k live rows
+        (of those in ``allowed``, if given) is doubled while wider beams may reach more.
         A null query finds nothing.
         """
         ef = ef or self.options.efsearch
@@ -219,48 +250,59 @@ class AnnIndex:
         if not isinstance(queries, DataFrame):
             queries = self.spark.createDataFrame([(0, [float(x) for x in queries])], "query_id long, query array<float>")
             query_id, query_vector = "query_id", "query"
-        while True:
-            n, found = 0, self._empty().select("query_id", "row_id", "distance")
-            for ids, vectors in query_blocks(queries, query_id, query_vector):
-                if vectors.shape[1] != self.options.dims:
-                    raise ValueError(WRONG_DIMENSIONS % (vectors.shape[1], self.options.dims))
-                n += len(ids)
+        allowed = None if allowed is None else allowed.select(F.col(allowed_id).cast("long").alias("row_id")).distinct()
+        blocks = []
+        for ids, vectors in query_blocks(queries, query_id, query_vector):
+            if vectors.shape[1] != self.options.dims:
+                raise ValueError(WRONG_DIMENSIONS % (vectors.shape[1], self.options.dims))
+            blocks.append((ids, vectors))
+        total = self._empty().select("query_id", "row_id", "distance")
+        while blocks:
+            found = total
+            for ids, vectors in blocks:
                 found = found.unionByName(self._beam(ids, vectors, ef))
             if allowed is not None:
-                found = found.join(allowed.select(F.col(allowed_id).cast("long").alias("row_id")).distinct(), "row_id", "left_semi")
+                found = found.join(allowed, "row_id", "left_semi")
             if k is None or ef >= self._meta.largest:
+                total = found
                 break
-            short = found.groupBy("query_id").count().filter(F.col("count") >= k).count() < n
-            if not short:
-                break
+            found = stored(found, "beam")
+            full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+            done = {row.query_id for row in full.toLocalIterator()}  # as many as there are stated queries, at most
+            short = [np.array([name not in done for name in ids], dtype=bool) for ids, _ in blocks]
+            total = total.unionByName(found.join(full, "query_id", "left_semi") if any(s.any() for s in short) else found)
+            blocks = [([n for n, s in zip(ids, some, strict=True) if s], vectors[some]) for (ids, vectors), some in zip(blocks, short, strict=True) if some.any()]
             ef *= 2
         by = Window.partitionBy("query_id").orderBy("distance", "row_id")
-        ranked = found.select("query_id", "row_id", "distance").withColumn("rank", F.row_number().over(by))
+        ranked = total.select("query_id", "row_id", "distance").withColumn("rank", F.row_number().over(by))
         return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "query_id long, row_id long, distance double, rank int")
 
     def _beam(self, ids: list, vectors: np.ndarray, ef: int) -> DataFrame:
+        """The nodes that a beam of every query reaches in every shard, deleted ones left out."""
         options, shared = self.options, self.spark.sparkContext.broadcast((ids, vectors))
 
-        def look(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("node")
-            have = np.array(part.embedding.tolist(), dtype=np.float64).reshape(len(part), -1)
-            if have.shape[1] != options.dims:
-                raise IndexDataError(WRONG_DIMENSIONS % (have.shape[1], options.dims))
-            links = [np.asarray(x, dtype=np.int32) for x in part.neighbors]
-            graph = ShardGraph(have, options.metric, options.m, options.efconstruction, links)
-            rows, gens, out = part.row_id.to_numpy(), part.gen.to_numpy(), []
-            for name, query in zip(*shared.value, strict=True):
-                nodes = np.array([node for _, node in graph.search(query, ef)], dtype=int)
-                out.append(
-                    pd.DataFrame({"query_id": name, "row_id": rows[nodes], "distance": exact_rows(options.metric, query, have[nodes]), "gen": gens[nodes]})
-                )
-            return pd.concat(out)
-
-        nodes = self._read_nodes(self._meta.nodes)
-        found = nodes.groupBy("shard").applyInPandas(look, "query_id long, row_id long, distance double, gen int")
+        def look(batches):
+            for batch in batches:
+                for gen, *packed in zip(*(batch.column(c).to_pylist() for c in ("gen", "row_ids", "vectors", "degrees", "links")), strict=True):
+                    rows, have, degrees, links = (np.frombuffer(x, kind) for x, kind in zip(packed, (np.int64, np.float32, np.int32, np.int32), strict=True))
+                    if len(have) != len(rows) * options.dims:
+                        raise IndexDataError(WRONG_DIMENSIONS % (len(have) // max(1, len(rows)), options.dims))
+                    have = have.astype(np.float64).reshape(len(rows), -1)
+                    try:
+                        graph = ShardGraph(have, options.metric, options.m, options.efconstruction, np.split(links, np.cumsum(degrees)[:-1]))
+                        reached = [np.array([node for _, node in graph.search(query, ef)], dtype=int) for query in shared.value[1]]
+                    except Exception as error:
+                        raise RuntimeError(SEARCH_FAILED) from error
+                    names = [name for name, nodes in zip(shared.value[0], reached, strict=True) for _ in nodes]
+                    distances = [exact_rows(options.metric, query, have[nodes]) for query, nodes in zip(shared.value[1], reached, strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names, pa.int64()), pa.array(rows[np.concatenate(reached)]), pa.array(np.concatenate(distances)), pa.array(np.full(len(names), gen, np.int32))],
+                        names=["query_id", "row_id", "distance", "gen"],
+                    )
+
+        nodes = self._read_nodes([*map(int, self._meta.nodes)])
+        found = nodes.mapInArrow(look, "query_id long, row_id long, distance double, gen int")
         return self._alive(found).select("query_id", "row_id", "distance")
-
-

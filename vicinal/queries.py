@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions import METRICS, distance, vector
-from vicinal.operators import AnnIndex, knn_join, nearest, range_search, with_distance
+from vicinal.operators import AnnIndex, knn_join, near_join, nearest, range_search, with_distance
 from vicinal.plans import sql
 from vicinal.sources import scratch_path, table
 
@@ -24,7 +25,10 @@ def base(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_vector(spark: SparkSession, folder: str) -> list[float]:
-    return base(spark, folder).filter("vec_id = 0").select("embedding").first()[0]
+    row = base(spark, folder).filter("vec_id = 0").select("embedding").first()
+    if row is None:
+        raise ValueError(f"the embeddings of {folder} have no vec_id 0")
+    return row[0]
 
 
 def _rounded(name: str = "d") -> Column:
@@ -60,11 +64,14 @@ def knn_full_order(spark, folder):
 
 
 def global_rank(df: DataFrame) -> DataFrame:
-    """``vec_id, d, rank`` in the order of d, then vec_id; buckets of equal width are ranked side by side."""
-    low, high, n = df.agg(F.min("d"), F.max("d"), F.count("*")).first()
-    buckets = max(1, min(4096, (n or 0) // 10_000))
-    width = ((high or 0) - (low or 0)) / buckets or 1.0
-    placed = df.withColumn("bucket", F.when(F.col("d").isNull(), buckets).otherwise(F.least(F.floor((F.col("d") - (low or 0)) / width), F.lit(buckets - 1))).cast("int"))
+    """``vec_id, d, rank`` in the order of d, then vec_id, null last; buckets between quantiles of d are ranked side by side."""
+    buckets = max(1, min(4096, df.count() // 10_000))
+    cuts = df.approxQuantile("d", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
+    cuts = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    bucket = F.lit(0.0)
+    if len(cuts) > 2:
+        df, bucket = Bucketizer(splits=cuts, inputCol="d", outputCol="cut", handleInvalid="keep").transform(df), F.col("cut")
+    placed = df.withColumn("bucket", F.when(F.col("d").isNull(), len(cuts)).otherwise(bucket).cast("int"))
     sizes = placed.groupBy("bucket").count()
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
@@ -147,27 +154,10 @@ def knn_per_label(spark, folder):
 
 
 def _near_pairs(spark, folder, radius: float) -> DataFrame:
-    """Stated queries (vec_id divisible by 20) against all rows, one Arrow pass."""
-    import numpy as np
-    import pyarrow as pa
-
-    from vicinal.operators.exact import matrix, pairwise, query_blocks
-
+    """Stated queries (vec_id divisible by 20) against all rows."""
     df = base(spark, folder)
-    out = spark.createDataFrame([], "query_id long, vec_id long, distance double")
-    for ids, vectors in query_blocks(df.filter("vec_id % 20 = 0"), "vec_id", "embedding"):
-        shared = spark.sparkContext.broadcast((np.array(ids), vectors))
-
-        def near(batches, shared=shared):
-            names, wanted = shared.value
-            for batch in batches:
-                d = pairwise("l2", wanted, matrix(batch.column("embedding"), wanted.shape[1]))
-                i, j = np.nonzero(d < radius)
-                own = batch.column("vec_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(own[j]), pa.array(d[i, j])], names=["query_id", "vec_id", "distance"])
-
-        out = out.unionByName(df.select("vec_id", "embedding").filter("embedding is not null").mapInArrow(near, out.schema))
-    return out
+    found = near_join(df, df.filter("vec_id % 20 = 0"), radius, base_id="vec_id", base_vector="embedding", query_id="vec_id", query_vector="embedding")
+    return found.withColumnRenamed("base_id", "vec_id")
 
 
 def distance_theta_join(spark, folder):
@@ -234,7 +224,7 @@ def ann_truncate(spark, folder):
     df = base(spark, folder)
     index = _index(spark, folder)
     index.truncate()
-    index.insert(df.filter("vec_id >= 250"), id_column="vec_id", column="embedding")
+    index.insert(df.filter("vec_id % 2 = 1"), id_column="vec_id", column="embedding")
     return _found(index.search(first_vector(spark, folder), K, ef=index._meta.rows))
 
 
@@ -256,6 +246,67 @@ def ann_default_options(spark, folder):
     return _found(_index(spark, folder).search(first_vector(spark, folder), K))
 
 
+def _recall(index: AnnIndex, df: DataFrame, metric: str, allowed: DataFrame | None = None) -> DataFrame:
+    """Recall at ten of the index at its default options, for all vec_id divisible by 20, against the exact join."""
+    asked = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = index.search(asked, K, allowed=allowed).select("query_id", "row_id")
+    among = df if allowed is None else df.join(allowed, df["vec_id"] == allowed["row_id"], "left_semi")
+    best = knn_join(among, asked, K, metric=metric, base_id="vec_id", base_vector="embedding", query_id="query_id", query_vector="query")
+    both = best.select("query_id", F.col("base_id").alias("row_id")).join(found.withColumn("hit", F.lit(1)), ["query_id", "row_id"], "left")
+    return both.agg(F.lit(metric).alias("metric"), F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_best"), (F.count("hit") / F.count("*") >= 0.95).alias("recall_95"))
+
+
+def ann_recall(spark, folder):
+    """All three metrics at the default beam of 64."""
+    df = base(spark, folder)
+    found = [_recall(_index(spark, folder, metric), df, metric) for metric in METRICS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def ann_iterative_scan(spark, folder):
+    """A filter that leaves a sixtieth of the rows: the beam of 16 has to double before ten of them are met."""
+    df = base(spark, folder)
+    index = _index(spark, folder, efsearch=16)
+    return _recall(index, df, "l2", df.filter("vec_id % 60 = 7").select(F.col("vec_id").alias("row_id")))
+
+
+def set_operations(spark, folder):
+    """Rows near by L2 or by Manhattan distance, near by both, and near by the first alone."""
+    q = first_vector(spark, folder)
+    a, b = (with_distance(base(spark, folder), "embedding", q, m, "d").filter(F.col("d") < limit).select("vec_id") for m, limit in (("l2", 1.35), ("manhattan", 8.7)))
+    named = lambda df, name: df.select(F.lit(name).alias("of"), "vec_id")
+    return named(a.union(b).distinct(), "union").unionByName(named(a.intersect(b), "intersect")).unionByName(named(a.exceptAll(b), "except"))
+
+
+def _by_label(spark, folder) -> DataFrame:
+    df = with_distance(base(spark, folder), "embedding", first_vector(spark, folder), "l2", "d")
+    return df.select("label", (F.col("d") < 1.4).alias("near"), "d")
+
+
+def _grouped(df) -> DataFrame:
+    sums = [F.count("*").alias("n"), F.round(F.min("d"), 6).alias("d_min"), F.round(F.max("d"), 6).alias("d_max")]
+    return df.agg(F.grouping_id().cast("long").alias("level"), *sums)
+
+
+def distance_rollup(spark, folder):
+    return _grouped(_by_label(spark, folder).rollup("label", "near"))
+
+
+def distance_cube(spark, folder):
+    return _grouped(_by_label(spark, folder).cube("label", "near"))
+
+
+def distance_distinct(spark, folder):
+    return _by_label(spark, folder).select("label", "near").distinct()
+
+
+def distance_sink(spark, folder):
+    """Distances written as Parquet and read back."""
+    path = scratch_path(spark, "distances")
+    _distances("l2")(spark, folder).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"{m}_distance": _distances(m) for m in METRICS}
     found |= {f"knn_{m}": _top(m) for m in METRICS} | {"knn_offset": _top("l2", offset=5)}
@@ -264,6 +315,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         knn_full_order, knn_farthest, knn_commuted, knn_nulls_last, knn_nulls_excluded, count_all, null_query, int_array_cast,
         flatten_vector, zero_vector_cosine, filtered_knn, knn_per_label, distance_theta_join, semi_join_near, anti_join_near,
         distance_stats, infix_operators, ann_insert, ann_delete, ann_truncate, ann_filtered, ann_compact, ann_default_options,
+        ann_recall, ann_iterative_scan, set_operations, distance_rollup, distance_cube, distance_distinct, distance_sink,
     )
     return found | {f.__name__: f for f in named} | {"range_search": range_within, "knn_join": knn_join_all}
 
@@ -312,8 +364,23 @@ def oracle_sql() -> dict[str, str]:
         "infix_operators": f"SELECT vec_id, round({_sql_distance('l2')}::FLOAT::DOUBLE, 4) AS l2, round({_sql_distance('cosine')}::FLOAT::DOUBLE, 4) AS cosine, round(({_sql_distance('manhattan')})::FLOAT::DOUBLE, 3) AS manhattan FROM embeddings",
         "ann_insert": _sql_top(),
         "ann_delete": _sql_top(where="vec_id % 3 <> 0"),
-        "ann_truncate": _sql_top(where="vec_id >= 250"),
+        "ann_truncate": _sql_top(where="vec_id % 2 = 1"),
         "ann_filtered": _sql_top(where="label = 3"),
         "ann_compact": _sql_top(where="vec_id % 3 <> 0"),
     }
+    by_label = f"SELECT label, d < 1.4 AS near, d FROM (SELECT label, {_sql_distance('l2')} AS d FROM embeddings)"
+    sums = "count(*) AS n, round(min(d), 6) AS d_min, round(max(d), 6) AS d_max"
+    levels = "label, near, grouping(label) * 2 + grouping(near) AS level"
+    met = {m: f"SELECT vec_id FROM (SELECT vec_id, {_sql_distance(m)} AS d FROM embeddings) WHERE d < {limit}" for m, limit in (("l2", 1.35), ("manhattan", 8.7))}
+    asked = "(SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0)"
+    recall = lambda m, rows: f"SELECT '{m}' AS metric, {asked} AS n_queries, {asked} * least({K}, ({rows})) AS n_best, true AS recall_95"
+    found |= {
+        "ann_recall": " UNION ALL ".join(recall(m, "SELECT count(*) FROM embeddings") for m in METRICS),
+        "ann_iterative_scan": recall("l2", "SELECT count(*) FROM embeddings WHERE vec_id % 60 = 7"),
+        "set_operations": f"SELECT 'union' AS of, vec_id FROM ({met['l2']} UNION {met['manhattan']}) UNION ALL SELECT 'intersect', vec_id FROM ({met['l2']} INTERSECT {met['manhattan']}) UNION ALL SELECT 'except', vec_id FROM ({met['l2']} EXCEPT ALL {met['manhattan']})",
+        "distance_rollup": f"SELECT {levels}, {sums} FROM ({by_label}) GROUP BY ROLLUP (label, near)",
+        "distance_cube": f"SELECT {levels}, {sums} FROM ({by_label}) GROUP BY CUBE (label, near)",
+        "distance_distinct": f"SELECT DISTINCT label, near FROM ({by_label})",
+        "distance_sink": found["l2_distance"],
+    }
     return found
