@@ -1,4 +1,9 @@
+import base64
+import hashlib
+import struct
+
 import public_tokenizers as P
+import tiktoken
 from samples import ODD
 
 from vicinal.llm import bpe
@@ -32,3 +37,13 @@ def test_raw_bytes_decode():
     coder = bpe.codec(RANKS, P.PATTERN)
     ids = coder.encode("☃")
     assert coder.decode(ids[:1]) == "☃".encode()[: len(coder.decode(ids[:1]))]
+
+
+def test_digests_by_plain_hashes(odd):
+    got = sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(bpe.round_trip(odd, RANKS, P.PATTERN)).collect())
+    coder = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
+    want = []
+    for i, text in ODD:
+        ids = coder.encode_ordinary(text or "")
+        want.append((i or 0, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert got == sorted(want)

@@ -1,6 +1,9 @@
 import hashlib
+import random
+import re
 
-from samples import ODD
+import pytest
+from samples import ODD, letters
 from pyspark.sql import functions as F
 
 from vicinal.llm import spotsigs
@@ -52,6 +55,57 @@ def test_near_duplicates_by_brute_force(make):
     assert {(r.a, r.b) for r in spotsigs.near_duplicates(docs).collect()} == want and want
 
 
+@pytest.mark.parametrize(("least", "n", "m", "shared"), [(0.55, 55, 100, 55), (0.8, 80, 100, 80), (0.1, 100, 1000, 100), (0.7, 70, 100, 70), (1.0, 9, 9, 9)])
+def test_no_link_is_lost_at_the_threshold(make, least, n, m, shared):
+    """Two sets whose likeness is the threshold itself."""
+    words = [letters(i) for i in range(m + 1)]
+    text = lambda k: " ".join(f"the {w} x" for w in words[:k])
+    docs = make([(1, text(n)), (2, text(m) + (" tail" if n == m else "")), (3, "the other text here")])
+    sizes = {r.doc_id: r.n for r in docs.select("doc_id", F.size(spotsigs.signatures(F.col("text"))).alias("n")).collect()}
+    assert (sizes[1], sizes[2]) == (n, m)
+    found = [(r.a, r.b, r.likeness) for r in spotsigs.near_duplicates(docs, least).collect()]
+    assert found == ([(1, 2, pytest.approx(least))] if n < m else [])
+
+
+def test_partners_are_in_neighbouring_partitions():
+    for num, den in ((4, 5), (1, 10), (99, 100), (11, 20), (1, 1)):
+        lows = spotsigs._sizes(num, den)
+        part = lambda n: sum(low <= n for low in lows)  # noqa: B023, E731
+        for n in (1, 2, 3, 9, 10, 11, 99, 100, 101, 1000, 4097, 1_000_000):
+            assert part(n) - part(-(-n * num // den)) <= 1
+
+
+def test_likenesses_by_brute_force(make):
+    """Signatures, edited texts and both likenesses, worked out word by word."""
+    rng = random.Random(3)
+    words = ["the", "of", "und", "der", "la", "is", *(letters(i) for i in range(25))]
+    rows = [(i, None if i == 7 else " ".join(rng.choices(words, k=rng.choice((0, 1, 5, 40, 90))))) for i in range(40)] + [(50, "The cat, of the dog ran away"), (49, "the cat of the dog ran off")]
+
+    def spots(text):
+        tokens = [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower()) if w]
+        merged, run = [], []
+        for i, w in enumerate(tokens):
+            if w in spotsigs.ANCHORS and i + 1 < len(tokens):
+                run.append(w)
+            else:
+                merged.append((tuple(run), w))
+                run = []
+        found = {(a, w, y[1]) for (a, w), y in zip(merged, merged[1:]) if a and w not in spotsigs.ANCHORS}  # noqa: B905
+        return found or {text}
+
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    want = {}
+    for k, (i, t) in enumerate(order):
+        follows = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 3] + follows[: len(t) // 3]
+        ratio = lambda a, b: len(a & b) / len(a | b)
+        want[i] = (ratio(spots(t), spots(edited)), ratio(spots(t), spots(follows)))
+    got = {}
+    for r in spotsigs.compare_edited(make(rows)).select("doc_id", spotsigs.jaccard(F.col("sigs"), F.col("edited_sigs")).alias("a"), spotsigs.jaccard(F.col("sigs"), F.col("next_sigs")).alias("b")).collect():
+        got[r.doc_id] = (r.a, r.b)
+    assert {i: pytest.approx(x) for i, x in want.items()} == got and len({x for x in want.values()}) > 10
+
+
 def test_digest_is_of_utf8(make):
     row = spotsigs.compare_edited(make([(1, "wörter ünd"), (2, "☃☃☃")])).select("doc_id", "edited", F.sha2("edited", 256).alias("h")).collect()
     assert all(r.h == hashlib.sha256(r.edited.encode()).hexdigest() for r in row)

@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Bytes of an Arrow batch; several are held at a time, by the worker and by the JVM.
 BATCH_BYTES = 16 << 20
 #: Rows from which a key may be dealt over several tasks of a join, the most such keys, and the tasks of each.
-HOT_ROWS, HOT_KEYS, SALTS = 10_000, 1_000, 64
+HOT_ROWS, HOT_KEYS, SALTS = 500, 1_000, 64
 
 
 def bounded(df: DataFrame) -> DataFrame:

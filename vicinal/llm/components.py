@@ -1,6 +1,7 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Every round is a few joins and aggregations with partial aggregates; its links are written to
+Every round is a few joins and aggregations with partial aggregates; the links of a node with very
+many neighbours are dealt over several tasks; its links are written to
 the shared folder, so no lineage grows and a lost executor repeats one round at most.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm.common import spread_join
 from vicinal.sources import stored
 
 
@@ -20,7 +22,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return spread_join(both.filter("v > u"), least, "u", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:

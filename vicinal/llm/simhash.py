@@ -7,6 +7,12 @@ positional bytes of pairs are tallied, pairs with at least 4 are kept, and the b
 compared. Equal fingerprints are one entry. A list gives a spanning forest of its links, not
 all its pairs; long lists are dealt out in blocks, and every two blocks meet in one task.
 
+Why triples: lists of single positional bytes hold a 256th of n fingerprints each, so their pairs
+are n * n / 64 in number, 690 million of the 210,000 fingerprints of half a gigabyte of documents.
+Lists of triples hold a 2**24th; 20 of them have n * n / 1.7 million pairs by chance, 26,000 of these.
+Hot components and fingerprints of very many documents are dealt over several tasks where they are
+joined to their class.
+
 Null and empty texts have fingerprint zero and link like any other; repeated rows are rows of
 their own; an empty table gives an empty one; other columns are ignored. A null id stays null
 and does not name a component while another id does.
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import shingles
-from vicinal.llm.common import map_arrow, rows_of, slices
+from vicinal.llm.common import map_arrow, rows_of, slices, spread_join
 from vicinal.llm.components import components
 from vicinal.sources import stored
 
@@ -185,8 +191,8 @@ def _classes(prints: DataFrame, distinct: DataFrame, near: DataFrame) -> DataFra
     root = F.coalesce(roots["root"], distinct["fp"])
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", root.alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = spread_join(named, least, "root", ["fp"]).select("fp", "component_id")
+    return spread_join(prints, classes, "fp", ["doc_id"], "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, most_bits: int = MOST_BITS, least: float = shingles.LEAST, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

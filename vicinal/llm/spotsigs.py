@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from fractions import Fraction
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -130,19 +131,29 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, *, id_column: str = "do
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
+    num, den = Fraction(repr(float(least))).as_integer_ratio()  # whole numbers: no likeness is lost to a rounded product
     sets = rows_of(docs, id_column, text_column).withColumn("sigs", F.sort_array(signatures(F.col("text"))))
-    sets = sets.groupBy("sigs").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("sigs"))
+    sets = sets.groupBy("sigs").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("sigs").cast("long"))
     spread = sets.select("id", "n", F.explode("sigs").alias("sig"))
     rarity = spread.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = spread.join(rarity, "sig", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "sig")))
-    listed = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & (F.col("df") > 1))
-    step = math.log(1 / least) if least < 1 else 1.0
-    part = F.floor(F.log("n") / step) if least < 1 else F.col("n").cast("long")
+    listed = ranked.filter(F.expr(f"df > 1 and r <= n - (n * {num} + {den - 1}) div {den} + 1"))
+    part = F.size(F.filter(F.array(*map(F.lit, _sizes(num, den))), lambda low: low <= F.col("n")))
     listed = listed.select("id", "n", "sig", part.alias("part"))
-    near = listed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "sig", F.explode(F.array("part", F.col("part") - 1) if least < 1 else F.array("part")).alias("part"))
+    near = listed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "sig", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
     pairs = listed.withColumnRenamed("id", "a").join(near, ["sig", "part"]).filter(F.col("a") != F.col("b"))
-    pairs = pairs.filter((F.col("n") <= F.col("n_b")) & (F.col("n") >= F.ceil(F.col("n_b") * least)))
+    pairs = pairs.filter(F.expr(f"n <= n_b and n * {den} >= n_b * {num}"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("sigs").alias("x")), sets.select(F.col("id").alias("b"), F.col("sigs").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("likeness")).filter(F.col("likeness") >= least)
+    compared = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    compared = compared.filter(F.expr(f"shared * {den}L >= (size(x) + size(y) - shared) * {num}L"))
+    return compared.select("a", "b", (F.col("shared") / (F.size("x") + F.size("y") - F.col("shared"))).alias("likeness"))
+
+
+def _sizes(num: int, den: int) -> list[int]:
+    """The least size of each length partition: a set's partners are in its own partition or the one below."""
+    out = [1]
+    while out[-1] < 1 << 31:
+        out.append(max(out[-1] * den // num, out[-1] * 21 // 20) + 1)
+    return out
