@@ -31,6 +31,8 @@ LEAST_Z = 5.0
 #: Buckets of the table of pairs, least rows of a term and of a pair in it, least
 #: z score of the labels of rows with both, and how much its square has to be above that of either.
 PAIR_BUCKETS, LEAST_ROWS, LEAST_PAIR_Z, GAIN = 4096, 64, 10.0, 4.0
+#: Rows and buckets of the table of pairs that are worked on at a time.
+ROWS_AT_ONCE, BUCKETS_AT_ONCE = 1024, 256
 THRESHOLD = 0.7
 
 
@@ -42,29 +44,30 @@ def _interacting(at: np.ndarray, of: np.ndarray, rows_with: np.ndarray, y: np.nd
     """Which terms lie in a bucket that tells the labels apart together with another; ``at`` are terms, ``of`` their rows in order."""
     slot = np.where(rows_with >= LEAST_ROWS, np.arange(len(rows_with)) % PAIR_BUCKETS, -1)
     use = slot[at] >= 0
-    row, bucket = of[use], slot[at][use]
-    n = min(PAIR_BUCKETS, len(rows_with))
-    both, toxic = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
-    for start in range(0, len(y), 1024):
-        low, high = np.searchsorted(row, [start, start + 1024])
-        x = np.zeros((min(1024, len(y) - start), n), np.float32)
-        x[row[low:high] - start, bucket[low:high]] = 1
-        both += x.T @ x
-        x = x[y[start : start + 1024] == 1]
-        toxic += x.T @ x
-    rate = y.mean()
-    enough = both >= LEAST_ROWS
-    toxic -= both * np.float32(rate)
-    np.maximum(both, 1, out=both)
-    squares = np.square(toxic, out=toxic)
-    squares /= both
-    squares /= np.float32(rate * (1 - rate))
-    alone = np.diag(squares).copy()
-    np.fill_diagonal(squares, 0)
-    telling = enough & (squares >= LEAST_PAIR_Z**2)
-    telling &= squares >= GAIN * alone[:, None]
-    telling &= squares >= GAIN * alone[None]
-    return (slot >= 0) & telling.any(0)[slot]
+    n, rate = min(PAIR_BUCKETS, len(rows_with)), y.mean()
+    row, bucket = np.divmod(np.unique(of[use] * n + slot[at][use]), n)
+    cuts = np.searchsorted(row, np.arange(0, len(y) + ROWS_AT_ONCE, ROWS_AT_ONCE))
+
+    def squares(both: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        return (toxic - both * rate) ** 2 / (np.maximum(both, 1) * rate * (1 - rate))
+
+    alone = squares(np.bincount(bucket, minlength=n), np.bincount(bucket, weights=y[row], minlength=n))
+    telling = np.zeros(n, dtype=bool)
+    for begin in range(0, n, BUCKETS_AT_ONCE):
+        own = slice(begin, begin + BUCKETS_AT_ONCE)
+        both = np.zeros((len(alone[own]), n), np.float32)
+        toxic = np.zeros_like(both)
+        for k, (low, high) in enumerate(zip(cuts, cuts[1:])):  # noqa: B905
+            labels = y[k * ROWS_AT_ONCE : (k + 1) * ROWS_AT_ONCE] == 1
+            x = np.zeros((len(labels), n), np.float32)
+            x[row[low:high] - k * ROWS_AT_ONCE, bucket[low:high]] = 1
+            both += x[:, own].T @ x
+            x = x[labels]
+            toxic += x[:, own].T @ x
+        tells = (both >= LEAST_ROWS) & ((z := squares(both, toxic)) >= LEAST_PAIR_Z**2) & (z >= GAIN * np.maximum(alone[own, None], alone))
+        tells[np.arange(len(both)), begin + np.arange(len(both))] = False
+        telling[own] = tells.any(1)
+    return (slot >= 0) & telling[slot]
 
 
 @dataclass(frozen=True)
