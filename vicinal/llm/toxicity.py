@@ -15,7 +15,9 @@ scores are the prior 1/2. Other columns are ignored, labels least of all read wh
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,23 +46,28 @@ def _interacting(at: np.ndarray, of: np.ndarray, rows_with: np.ndarray, y: np.nd
     """Which terms lie in a bucket that tells the labels apart together with another; ``at`` are terms, ``of`` their rows in order."""
     slot = np.where(rows_with >= LEAST_ROWS, np.arange(len(rows_with)) % PAIR_BUCKETS, -1)
     use = slot[at] >= 0
-    n, rate = min(PAIR_BUCKETS, len(rows_with)), y.mean()
-    row, bucket = np.divmod(np.unique(of[use] * n + slot[at][use]), n)
+    n, rate = min(PAIR_BUCKETS, len(rows_with)), float(y.mean())
+    row, bucket = of[use], slot[at][use].astype(np.int32)
     cuts = np.searchsorted(row, np.arange(0, len(y) + ROWS_AT_ONCE, ROWS_AT_ONCE))
 
+    def tables() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, bucket) which rows have which buckets, some rows at a time, and which of the rows are positive."""
+        for k, (low, high) in enumerate(zip(cuts, cuts[1:])):  # noqa: B905
+            labels = y[k * ROWS_AT_ONCE : (k + 1) * ROWS_AT_ONCE] == 1
+            x = np.zeros((len(labels), n), np.float32)
+            x[row[low:high] - k * ROWS_AT_ONCE, bucket[low:high]] = 1
+            yield x, labels
+
     def squares(both: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         return (toxic - both * rate) ** 2 / (np.maximum(both, 1) * rate * (1 - rate))
 
-    alone = squares(np.bincount(bucket, minlength=n), np.bincount(bucket, weights=y[row], minlength=n))
+    alone = squares(*sum(np.stack([x.sum(0), x[labels].sum(0)]) for x, labels in tables()))
     telling = np.zeros(n, dtype=bool)
     for begin in range(0, n, BUCKETS_AT_ONCE):
         own = slice(begin, begin + BUCKETS_AT_ONCE)
         both = np.zeros((len(alone[own]), n), np.float32)
         toxic = np.zeros_like(both)
-        for k, (low, high) in enumerate(zip(cuts, cuts[1:])):  # noqa: B905
-            labels = y[k * ROWS_AT_ONCE : (k + 1) * ROWS_AT_ONCE] == 1
-            x = np.zeros((len(labels), n), np.float32)
-            x[row[low:high] - k * ROWS_AT_ONCE, bucket[low:high]] = 1
+        for x, labels in tables():
             both += x[:, own].T @ x
             x = x[labels]
             toxic += x[:, own].T @ x
@@ -89,9 +96,8 @@ class FactorizationMachine:
         none = FactorizationMachine(np.zeros(0, np.uint32), bias, np.zeros(0), np.zeros((0, FACTORS)))
         if not 0 < y.sum() < len(y):
             return none
-        flat = np.concatenate(rows)
-        known, at = np.unique(flat, return_inverse=True)
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        known, at = np.unique(np.concatenate(rows), return_inverse=True)
+        at, of = at.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         n1, n0 = y.sum(), len(y) - y.sum()
         c1 = np.bincount(at, weights=y[of], minlength=len(known))
         c = np.bincount(at, minlength=len(known))
@@ -145,7 +151,7 @@ class FactorizationMachine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
-    """Learn from the labelled rows among ``labels``; at most ``sample_rows`` of them are broadcast and collected."""
+    """Learn from the labelled rows among ``labels``, in one task; at most ``sample_rows`` of them are broadcast and take part."""
     rated = labels.select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     rated = rated.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = rows_of(docs, id_column, text_column).join(F.broadcast(rated), "doc_id").select("y", "text")
@@ -155,11 +161,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id_column:
             found = [_terms(t).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(found, pa.binary())], names=["y", "terms"])
 
-    sample = map_arrow(rows, run, "y int, terms binary").toArrow().to_pandas()
-    if not len(sample):
-        return FactorizationMachine(np.zeros(0, np.uint32), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    sample = sample.sort_values(["y", "terms"], kind="stable")
-    return FactorizationMachine.fit([np.frombuffer(t, np.uint32) for t in sample.terms], sample.y.to_numpy())
+    def learn(batches):
+        parts = pa.Table.from_batches(batches, pa.schema([("y", pa.int32()), ("terms", pa.binary())])).to_pandas()
+        parts = parts.sort_values(["y", "terms"], kind="stable")
+        model = FactorizationMachine.fit([np.frombuffer(t, np.uint32) for t in parts.terms], parts.y.to_numpy()) if len(parts) else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    fitted = map_arrow(rows, run, "y int, terms binary").repartition(1).mapInArrow(learn, "model binary").first()
+    model = None if fitted is None else pickle.loads(fitted.model)
+    return model or FactorizationMachine(np.zeros(0, np.uint32), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
