@@ -46,14 +46,17 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.Re
     return df.mapInArrow(run, schema)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """Join on a key of which ``right`` has one row and ``left`` may have very many.
 
     The keys with most rows, ``HOT_KEYS`` at most, have their rows dealt over ``SALTS`` tasks by
     the hash of the columns ``spread``; the row of ``right`` goes to each of these. Any other key
-    has less than ``HOT_ROWS`` rows or than one in ``HOT_KEYS`` of all.
+    has less than ``HOT_ROWS`` rows or than one in ``HOT_KEYS`` of all. ``counted`` may give the
+    rows of the keys, as ``hot_key, hot_rows``, where they are known.
     """
-    many = left.groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("hot_rows")).filter(F.col("hot_rows") >= HOT_ROWS)
+    if counted is None:
+        counted = left.groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("hot_rows"))
+    many = counted.filter(F.col("hot_rows") >= HOT_ROWS)
     hot = F.broadcast(many.orderBy(F.desc("hot_rows"), "hot_key").limit(HOT_KEYS).select("hot_key"))
     dealt = left.join(hot, left[key] == F.col("hot_key"), "left").withColumn("salt", F.when(F.col("hot_key").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.lit(SALTS))).cast("int"))
     copies = F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))

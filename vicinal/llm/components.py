@@ -21,8 +21,8 @@ def _state(links: DataFrame) -> tuple:
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return spread_join(both.filter("v > u"), least, "u", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("hot_rows"))
+    return spread_join(both.filter("v > u"), least.select("u", "m"), "u", ["v"], counted=least.select(F.col("u").alias("hot_key"), "hot_rows")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
