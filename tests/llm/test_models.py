@@ -167,8 +167,9 @@ def test_language_held_out_and_switched(spark, make, none):
     assert language.predict(make(ODD), language.fit(none)).filter("lang_pred <> 'und'").count() == 0
 
 
-@pytest.mark.parametrize("slices", [10**6, 40])
-def test_losses_by_brute_force(spark, make, odd, slices):
+@pytest.mark.parametrize("hot", [10**6, 40, 3, 0])
+def test_losses_by_brute_force(spark, make, odd, hot):
+    """Losses of all bigrams broadcast, of the frequent ones, of none."""
     texts = [(1, "the cat sat on the mat. the cat ran"), (2, "a dog sat on the log"), (3, "pure other words here"), (3, "pure other words here"), *ODD]
     docs, target = make(texts), spark.createDataFrame([(1,), (3,), (3,), (None,)], "doc_id long")
     coder, v = bpe.codec(RANKS, P.PATTERN), 50256
@@ -191,7 +192,11 @@ def test_losses_by_brute_force(spark, make, odd, slices):
 
     t, b = model(lambda i: i in (1, 3)), model(lambda i: True)
     want = sorted((i or 0, len(x) - 1, sum(b(*p) - t(*p) for p in zip(x, x[1:])) / max(1, len(x) - 1)) for i, x in ids)  # noqa: B905
-    got = sorted((r.doc_id or 0, r.n_tokens, r.score) for r in scoring.score(docs, target, RANKS, P.PATTERN, v, slice_entries=slices).collect())
+    _, table = scoring.losses(docs, target, RANKS, P.PATTERN, v)
+    counts, cut = [r.n for r in table.collect()], scoring._cut(table, hot)
+    assert (cut == 1) == (len(counts) <= hot) and sum(n >= cut for n in counts) <= hot
+    assert cut == 1 or sum(n >= cut // 2 for n in counts) > hot
+    got = sorted((r.doc_id or 0, r.n_tokens, r.score) for r in scoring.score(docs, target, RANKS, P.PATTERN, v, hot_entries=hot).collect())
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-5)
 

@@ -5,9 +5,10 @@ model are bigram models of equal make (Witten-Bell back-off to add-one unigrams)
 all target documents and over all documents. The score of a document is the mean over its
 tokens of background loss minus target loss; above 0 it looks more like the target.
 
-Counting sums up inside each task before anything is shuffled. The table of losses by bigram
-goes to the executors in slices of ``SLICE`` entries, a pass each, so no broadcast grows
-beyond that. Null and empty texts have no tokens and score 0; repeated rows count and score
+Counting sums up inside each task before anything is shuffled. The losses of the most frequent
+bigrams, ``HOT`` at most, are broadcast and looked up in one pass over the ids; what that pass
+does not find, rare bigrams by construction, is joined by key, so no broadcast grows with the
+input and no key of the join is hot. Null and empty texts have no tokens and score 0; repeated rows count and score
 each; without target documents the target model is uniform; an empty table gives an empty one;
 rows of null id are background; other columns are ignored.
 """
@@ -25,8 +26,8 @@ from vicinal.llm.bpe import codec
 from vicinal.llm.common import map_arrow, rows_of, slices
 from vicinal.sources import stored
 
-#: Entries of the table of losses that a pass broadcasts, 12 bytes each.
-SLICE = 12_000_000
+#: Entries of the table of losses that are broadcast, 12 bytes each.
+HOT = 12_000_000
 #: Entries that a counting task holds before it hands them on.
 HELD = 3_000_000
 
@@ -92,7 +93,7 @@ def _counted(marked: DataFrame, begin: int) -> DataFrame:
 
 
 def losses(docs: DataFrame, target_ids: DataFrame, rank_file: str, pattern: str, vocabulary: int, *, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The tokenized documents, and ``key, background, target``: minus log probabilities of all bigrams."""
+    """The tokenized documents, and ``key, n, background, target``: count and minus log probabilities of all bigrams."""
     tokens = stored(_tokenized(rows_of(docs, id_column, text_column), rank_file, pattern), "lm-tokens")
     chosen = target_ids.select(target_ids[id_column].alias("chosen")).filter("chosen is not null").distinct()
     # the same plan at every size: without the hint a small table of ids is broadcast, a large one is not
@@ -112,63 +113,74 @@ def losses(docs: DataFrame, target_ids: DataFrame, rank_file: str, pattern: str,
 
     # contexts and words have a row per vocabulary entry at most
     table = counts.join(F.broadcast(contexts), "v").join(F.broadcast(words), "w")
-    return tokens, table.select("key", "v", loss("n", total[0]).cast("float").alias("background"), loss("t", total[1]).cast("float").alias("target"))
+    return tokens, table.select("key", "n", loss("n", total[0]).cast("float").alias("background"), loss("t", total[1]).cast("float").alias("target"))
 
 
-def _ranges(table: DataFrame, most: int) -> list[tuple[int, int]]:
-    """Ranges of contexts that hold about ``most`` entries each; a context has one per vocabulary entry at most."""
-    out, low, held = [], 0, 0
-    rows = table.groupBy("v").count().orderBy("v").collect()  # a row per vocabulary entry at most
-    for v, n in rows:
-        if held and held + n > most:
-            out.append((low, v))
-            low, held = v, 0
-        held += n
-    return [*out, (low, rows[-1][0] + 1)] if rows else []
+def _cut(table: DataFrame, most: int) -> int:
+    """The power of two from which on bigrams are frequent: the least that ``most`` entries at most reach; 1 if all are."""
+    level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    sizes = table.groupBy(level.alias("level")).count().collect()  # 63 rows at most
+    held = 0
+    for size in sorted(sizes, reverse=True):
+        held += size["count"]
+        if held > most:
+            return 1 << size["level"] + 1
+    return 1
 
 
-def score(docs: DataFrame, target_ids: DataFrame, rank_file: str, pattern: str, vocabulary: int, *, id_column: str = "doc_id", text_column: str = "text", slice_entries: int = SLICE) -> DataFrame:
+def _looked_up(tokens: DataFrame, table: DataFrame, vocabulary: int, whole: bool) -> DataFrame:
+    """``doc_id, n_tokens, target, background``: sums of the losses in ``table``, which is broadcast.
+
+    Unless the table is ``whole`` there are also ``row`` and ``cold``, the bigrams it lacks and how often they occur.
+    """
+    got = table.select("key", "background", "target").toArrow()
+    keys = got.column("key").to_numpy().astype(np.uint32)
+    order = np.argsort(keys)
+    shared = tokens.sparkSession.sparkContext.broadcast((keys[order], got.column("background").to_numpy()[order], got.column("target").to_numpy()[order]))
+    schema = f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, n_tokens long, target double, background double"
+
+    def run(batch: pa.RecordBatch):
+        known, background, target = shared.value
+        for part in slices(batch, "ids", 4 << 20):
+            keys, sizes = _bigrams(part.column("ids").to_pylist(), vocabulary)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            distinct, at = np.unique(keys, return_inverse=True)
+            place = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
+            hot = known[place] == distinct if len(known) else np.zeros(len(distinct), dtype=bool)
+            sums = [np.zeros(len(sizes))] * 2
+            if len(known):
+                sums = [np.bincount(of, weights=np.where(hot, x[place], 0)[at], minlength=len(sizes)) for x in (target, background)]
+            columns = [part.column("doc_id"), pa.array(sizes.astype(np.int64)), *map(pa.array, sums)]
+            names = ["doc_id", "n_tokens", "target", "background"]
+            if whole and not hot.all():
+                raise ValueError("a bigram is not among the counted ones")
+            if not whole:
+                cold = ~hot[at]
+                pairs, times = np.unique(of[cold].astype(np.uint64) << np.uint64(32) | keys[cold], return_counts=True)
+                ends = np.searchsorted(pairs >> np.uint64(32), np.arange(len(sizes) + 1)).astype(np.int32)
+                members = pa.StructArray.from_arrays([pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(times)], names=["key", "times"])
+                columns, names = [*columns, part.column("row"), pa.ListArray.from_arrays(ends, members)], [*names, "row", "cold"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(tokens, run, schema + ("" if whole else ", row long, cold array<struct<key: long, times: long>>"))
+
+
+def score(docs: DataFrame, target_ids: DataFrame, rank_file: str, pattern: str, vocabulary: int, *, id_column: str = "doc_id", text_column: str = "text", hot_entries: int = HOT) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of every document; losses are means per token."""
-    spark = docs.sparkSession
     tokens, table = losses(docs, target_ids, rank_file, pattern, vocabulary, id_column=id_column, text_column=text_column)
     table = stored(table, "lm-losses")
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, target double, background double"
-    ranges = _ranges(table, slice_entries)
-    numbered = tokens if len(ranges) < 2 else stored(tokens.withColumn("row", F.monotonically_increasing_id()), "lm-numbered")
-    parts = []
-    for low, high in ranges or [(0, 0)]:
-        got = table.filter((F.col("v") >= low) & (F.col("v") < high)).select("key", "background", "target").toArrow()
-        keys = got.column("key").to_numpy().astype(np.uint32)
-        order = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[order], got.column("background").to_numpy()[order], got.column("target").to_numpy()[order]))
-
-        def run(batch: pa.RecordBatch, shared=shared, low=low, high=high):
-            known, background, target = shared.value
-            for part in slices(batch, "ids", 4 << 20):
-                keys, sizes = _bigrams(part.column("ids").to_pylist(), vocabulary)
-                sums = np.zeros((2, len(sizes)))
-                if len(keys) and len(known):
-                    distinct, at = np.unique(keys, return_inverse=True)
-                    inside = (distinct >> np.uint32(16) >= low) & (distinct >> np.uint32(16) < high)
-                    place = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-                    if (known[place] != distinct)[inside].any():
-                        raise ValueError("a bigram is not among the counted ones")
-                    of = np.repeat(np.arange(len(sizes)), sizes)
-                    for i, losses_of in enumerate((target, background)):
-                        sums[i] = np.bincount(of, weights=np.where(inside, losses_of[place], 0)[at], minlength=len(sizes))
-                columns = [part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
-                names = ["doc_id", "n_tokens", "target", "background"]
-                if "row" in part.schema.names:
-                    columns, names = [*columns, part.column("row")], [*names, "row"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        parts.append(map_arrow(numbered, run, schema + (", row long" if len(ranges) > 1 else "")))
-    total = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            total = total.unionByName(part)
-        total = total.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+    cut = _cut(table, hot_entries)
+    if cut == 1:
+        total = _looked_up(tokens, table, vocabulary, whole=True)
+    else:
+        numbered = tokens.withColumn("row", F.monotonically_increasing_id())
+        total = stored(_looked_up(numbered, table.filter(F.col("n") >= cut), vocabulary, whole=False), "lm-looked-up")
+        cold = total.select("row", F.explode("cold").alias("c")).select("row", "c.key", "c.times")
+        # the same plan at every size: a rare bigram has fewer than ``cut`` rows, so none is hot
+        joined = cold.join(table.filter(F.col("n") < cut).select("key", F.col("target").alias("t"), F.col("background").alias("b")).hint("merge"), "key")
+        sums = joined.groupBy("row").agg(F.sum(F.col("times") * F.col("t")).alias("t"), F.sum(F.col("times") * F.col("b")).alias("b"))
+        added = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0.0))).alias(c)
+        total = total.drop("cold").join(sums.hint("merge"), "row", "left").select("doc_id", "n_tokens", added("target", F.col("t")), added("background", F.col("b")))
     n = F.greatest(F.col("n_tokens"), F.lit(1))
     return total.select(
         "doc_id", "n_tokens", (F.col("target") / n).alias("target_loss"), (F.col("background") / n).alias("background_loss"),
