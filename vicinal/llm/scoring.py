@@ -150,7 +150,7 @@ def _looked_up(tokens: DataFrame, table: DataFrame, vocabulary: int, whole: bool
             sums = [np.zeros(len(sizes))] * 2
             if len(known):
                 sums = [np.bincount(of, weights=np.where(hot, x[place], 0)[at], minlength=len(sizes)) for x in (target, background)]
-            columns = [part.column("doc_id"), pa.array(sizes.astype(np.int64)), *map(pa.array, sums)]
+            columns = [part.column("doc_id"), pa.array(sizes.astype(np.int64)), *(pa.array(x.astype(float)) for x in sums)]
             names = ["doc_id", "n_tokens", "target", "background"]
             if whole and not hot.all():
                 raise ValueError("a bigram is not among the counted ones")
