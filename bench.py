@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from vicinal.operators import AnnIndex
 from vicinal.queries import base, first_vector, queries
-from vicinal.sources import scratch_path
+from vicinal.sources import clear_scratch, scratch_path
 
 NAMES = ("knn_l2", "knn_cosine", "knn_manhattan", "knn_full_order", "knn_join", "range_search", "knn_per_label", "distance_stats")
 
@@ -55,6 +55,7 @@ def main() -> None:
             times.append(time.perf_counter() - began)
         took[name] = round(min(times), 3)
     print(json.dumps({"metric": "total of the best of 3 runs", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
+    clear_scratch(spark)
     spark.stop()
 
 

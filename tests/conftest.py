@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from vicinal.sources import clear_scratch
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,4 +16,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

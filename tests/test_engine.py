@@ -15,6 +15,7 @@ from vicinal.operators import index as index_module
 from vicinal.operators.graph import ShardGraph
 from vicinal.plans import choose_strategy, rewrite, search, sql
 from vicinal.queries import oracle_sql, queries
+from vicinal.sources import clear_scratch, scratch, stored
 from vicinal.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -263,3 +264,14 @@ def test_query_matches_sql(spark, name):
     want = con.sql(oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(rows, got.columns) == canonical(want.fetchall(), want.columns)
+
+
+def test_working_tables_are_cleared(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: f"file://{tmp_path}")
+    other = tmp_path / "vicinal" / "another-application" / "table"
+    other.mkdir(parents=True)
+    assert stored(small(spark), "rows").count() == len(ROWS)
+    assert list(tmp_path.rglob("*.parquet"))
+    assert clear_scratch(spark)
+    assert not list(tmp_path.rglob("*.parquet")) and other.exists()
+    assert not clear_scratch(spark)

@@ -1,4 +1,4 @@
-from vicinal.sources.scratch import scratch_path, stored
+from vicinal.sources.scratch import clear_scratch, scratch_path, stored
 from vicinal.sources.tables import table
 
-__all__ = ["scratch_path", "stored", "table"]
+__all__ = ["clear_scratch", "scratch_path", "stored", "table"]

@@ -26,9 +26,22 @@ def scratch_root(spark: SparkSession) -> str:
     return _own.setdefault(_SETTING, f"file://{tempfile.mkdtemp(prefix='vicinal-')}")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/vicinal/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/vicinal/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete the working tables of this application; what was read from them must have been used or written elsewhere.
+
+    Nothing is deleted earlier, as results are lazy and read their working tables whenever they are used. True if there was anything.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
