@@ -275,3 +275,34 @@ def test_working_tables_are_cleared(spark, monkeypatch, tmp_path):
     assert clear_scratch(spark)
     assert not list(tmp_path.rglob("*.parquet")) and other.exists()
     assert not clear_scratch(spark)
+
+
+def test_filtered_search_has_each_row_once_and_no_gaps(spark, tmp_path):
+    """Queries that are done in different rounds, shards that differ: every row once, and the nearest that count."""
+    rng = np.random.default_rng(11)
+    data = rng.normal(size=(3000, 4)).astype(np.float32)
+    data[2000:] *= 0.2  # a dense middle, in shards of its own
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, val array<float>")
+    index = AnnIndex.build(df.filter("id < 2000"), f"file://{tmp_path}/i", id_column="id", column="val", dims=4, shard_rows=500, efsearch=4)
+    index.insert(df.filter("id >= 2000"), id_column="id", column="val")
+    index.delete(df.filter("id % 7 = 0"), "id")
+    live = [i for i in range(3000) if i % 7 and (i < 30 or i % 19 == 3)]
+    asked = df.filter("id % 60 = 0").select(F.col("id").alias("query_id"), F.col("val").alias("query"))
+    found = {}
+    for row in index.search(asked, 10, allowed=spark.createDataFrame([(i,) for i in live], "row_id long")).collect():
+        found.setdefault(row.query_id, []).append(row.row_id)
+    assert len(found) == 50 and all(len(set(ids)) == len(ids) == 10 for ids in found.values())
+    best = {q: sorted(live, key=lambda i: math.dist(data[q], data[i]))[:10] for q in found}
+    assert sum(len(set(best[q]) & set(found[q])) for q in found) >= 490
+
+
+def test_beam_is_widened_to_what_the_shards_need(spark, tmp_path):
+    """Many dimensions: the beam of 8 finds few of the ten nearest of 2,000 rows."""
+    data = np.random.default_rng(13).normal(size=(2000, 48)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, val array<float>")
+    index = AnnIndex.build(df, f"file://{tmp_path}/i", id_column="id", column="val", dims=48, efsearch=8)
+    assert AnnIndex.load(spark, index.path)._meta.beam > 8
+    asked = df.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("val").alias("query"))
+    found = {(r.query_id, r.row_id) for r in index.search(asked, 10).collect()}
+    best = {(q, i) for q in range(0, 2000, 20) for i in np.argsort(((data - data[q]) ** 2).sum(1), kind="stable")[:10].tolist()}
+    assert len(found) == 1000 and len(found & best) >= 950

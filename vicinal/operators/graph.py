@@ -6,13 +6,15 @@ keeps out of its beam; a full list is pruned again from its owner's point of vie
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 from vicinal.operators.exact import exact_rows
 
 
+#: Nodes that a search looks at from together, at least: NumPy takes about as long for one as for some.
+LEAST_TOGETHER = 8
+
+
 class ShardGraph:
     """Build and beam search. ``m`` links per new node, ``2 * m`` at most; ties go by node number."""
 
@@ -27,30 +29,49 @@ class ShardGraph:
         found = exact_rows(self.metric, query, self.vectors[nodes])
         return np.where(np.isnan(found), np.inf, found)
 
-    def search(self, query: np.ndarray, ef: int) -> list[tuple[float, int]]:
-        """The ``ef`` best nodes that a beam of that width reaches, ascending."""
+    def search(self, query: np.ndarray, ef: int, without: int | None = None) -> list[tuple[float, int]]:
+        """The ``ef`` best nodes that a beam of that width reaches, ascending; one may be left out as if it had no node."""
         if not self.links:
             return []
         seen = np.zeros(len(self.links), dtype=bool)
         seen[0] = True
-        start = float(self._distances(query, [0])[0])
-        frontier, kept = [(start, 0)], [(-start, 0)]
-        while frontier:
-            near, node = heapq.heappop(frontier)
-            if near > -kept[0][0] and len(kept) >= ef:
+        if without is not None:
+            seen[without] = True
+        nodes, near, fresh = np.zeros(1, dtype=np.int64), self._distances(query, [0]), np.ones(1, dtype=bool)
+        together = max(LEAST_TOGETHER, ef // 16)
+        while len(now := np.flatnonzero(fresh)[:together]):
+            fresh[now] = False
+            met = np.concatenate([self.links[node] for node in nodes[now].tolist()])
+            met = np.unique(met[~seen[met]])
+            seen[met] = True
+            d = self._distances(query, met)
+            if len(nodes) >= ef:
+                closer = d <= near[-1]
+                met, d = met[closer], d[closer]
+            if len(met):
+                nodes, near, fresh = np.concatenate([nodes, met]), np.concatenate([near, d]), np.concatenate([fresh, np.ones(len(met), dtype=bool)])
+                order = np.lexsort((nodes, near))[:ef]
+                nodes, near, fresh = nodes[order], near[order], fresh[order]
+        return [(d, node) for d, node in zip(near.tolist(), nodes.tolist(), strict=True) if node != without]
+
+    def beam_for(self, recall: float, sample: int = 64, k: int = 10) -> int:
+        """The least doubling of 32 whose beam finds that share of the k nearest of some nodes, spread over the graph, that are left out meanwhile.
+
+        The sample is of a fixed size; a beam of all nodes is the most.
+        """
+        count, beam = len(self.vectors), 32
+        chosen = np.unique(np.linspace(0, count - 1, min(count, sample)).astype(int)) if count > beam else []
+        best = {}
+        for node in chosen:
+            d = self._distances(self.vectors[node], slice(None))
+            d[node] = np.inf
+            best[node] = set(np.lexsort((np.arange(count), d))[:k].tolist())
+        while beam < count:
+            hits = sum(len(own & {x for _, x in self.search(self.vectors[node], beam, node)[:k]}) for node, own in best.items())
+            if hits >= recall * k * len(best):
                 break
-            fresh = self.links[node]
-            fresh = fresh[~seen[fresh]]
-            if not len(fresh):
-                continue
-            seen[fresh] = True
-            for d, other in zip(self._distances(query, fresh).tolist(), fresh.tolist(), strict=True):
-                if len(kept) < ef or d < -kept[0][0]:
-                    heapq.heappush(frontier, (d, other))
-                    heapq.heappush(kept, (-d, -other))
-                    if len(kept) > ef:
-                        heapq.heappop(kept)
-        return sorted((-d, abs(node)) for d, node in kept)
+            beam *= 2
+        return beam
 
     def _diverse(self, near_first: list[tuple[float, int]], most: int) -> list[int]:
         """All candidates when they are few; else those that no kept node is closer to than the centre is."""

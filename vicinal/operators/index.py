@@ -1,6 +1,6 @@
 """Approximate nearest-neighbour index: one graph per shard, stored as Parquet.
 
-Layout below the index path: ``nodes/gen=N`` (a row per shard: ids, vectors and links, packed),
+Layout below the index path: ``nodes/gen=N`` (a row per shard: ids, vectors and links, packed, and its beam),
 ``deleted/gen=N`` (row_id, upto) and ``meta/gen=N`` (one JSON row; the latest holds). Every
 change adds files and a new ``meta`` row, so a failed writer leaves the index as it was.
 
@@ -27,16 +27,24 @@ from vicinal.operators.exact import exact_rows, query_blocks
 from vicinal.operators.graph import ShardGraph
 from vicinal.sources import stored
 
-_NODES = "shard int, row_ids binary, vectors binary, degrees binary, links binary"
+_NODES = "shard int, row_ids binary, vectors binary, degrees binary, links binary, beam int"
+_FOUND = ["query_id", "row_id", "distance", "edge", "gen"]
 #: Generations with less than a full shard that may be there before they are merged.
 MOST_SMALL = 16
+#: Finds of a beam that one Arrow batch brings from a worker, unless one query has more.
+BATCH_FINDS = 1 << 18
 #: Bytes of shards that one Arrow batch takes to a worker, unless one shard is larger.
 BATCH_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
 class IndexOptions:
-    """``dims`` is needed; ``m`` links per new node; beam widths for inserts and searches."""
+    """``dims`` is needed; ``m`` links per new node; beam widths for inserts and searches.
+
+    ``efsearch`` is the least beam. What it finds falls with the rows of a shard and the dimensions that they
+    fill, so each new shard is tried on 64 of its rows, left out meanwhile, and the beam is widened until it finds
+    the share ``recall`` of their ten nearest. With 0 it is held to ``efsearch``.
+    """
 
     dims: int = 0
     m: int = 100
@@ -44,6 +52,7 @@ class IndexOptions:
     efsearch: int = 64
     metric: str = "l2"
     shard_rows: int = 20_000
+    recall: float = 0.98
 
     def __post_init__(self):
         if not self.dims:
@@ -51,6 +60,8 @@ class IndexOptions:
         for name in ("dims", "m", "efconstruction", "efsearch", "shard_rows"):
             if getattr(self, name) < 1:
                 raise IndexOptionError(f"{name} must be 1 or more")
+        if not 0 <= self.recall <= 1:
+            raise IndexOptionError("recall must be from 0 to 1")
         if self.metric not in METRICS:
             raise IndexOptionError(f"unsupported metric {self.metric!r}")
 
@@ -62,6 +73,7 @@ class _Meta:
     shards: int = 0
     rows: int = 0
     largest: int = 0
+    beam: int = 0  # that of the shard which needs the widest
     nodes: dict[str, int] = field(default_factory=dict)  # rows by generation
     deleted: list[int] = field(default_factory=list)
 
@@ -118,15 +130,16 @@ class AnnIndex:
             vectors = np.array(part.embedding.tolist(), dtype=np.float32).reshape(len(part), -1)
             try:
                 graph = ShardGraph(vectors.astype(np.float64), options.metric, options.m, options.efconstruction)
+                beam = graph.beam_for(options.recall) if options.recall else 0
             except Exception as error:
                 raise RuntimeError(INSERT_FAILED) from error
             packed = [part.row_id.to_numpy(np.int64), vectors, np.array([len(x) for x in graph.links], np.int32), np.concatenate(graph.links).astype(np.int32)]
-            return pd.DataFrame([[int(key[0]), *(x.tobytes() for x in packed)]], columns=["shard", "row_ids", "vectors", "degrees", "links"])
+            return pd.DataFrame([[int(key[0]), *(x.tobytes() for x in packed), beam]], columns=["shard", "row_ids", "vectors", "degrees", "links", "beam"])
 
         placed = rows.withColumn("shard", (F.pmod(F.xxhash64("row_id"), F.lit(shards)) + first).cast("int"))
-        nodes = placed.groupBy("shard").applyInPandas(graph_of, _NODES)
+        nodes = placed.repartition(shards, "shard").groupBy("shard").applyInPandas(graph_of, _NODES)  # a stated number of tasks is not made fewer
         nodes.write.parquet(f"{self.path}/nodes/gen={generation}")
-        largest = self._read_nodes([generation]).agg(F.max(F.length("row_ids") / 8)).first()[0] or 0
+        largest, beam = (x or 0 for x in self._read_nodes([generation]).agg(F.max(F.length("row_ids") / 8), F.max("beam")).first())
         self._commit(
             replace(
                 self._meta,
@@ -134,6 +147,7 @@ class AnnIndex:
                 shards=first + shards,
                 rows=self._meta.rows + count,
                 largest=max(self._meta.largest, int(largest)),
+                beam=max(self._meta.beam, int(beam)),
                 nodes={**self._meta.nodes, str(generation): count},
             )
         )
@@ -239,12 +253,12 @@ class AnnIndex:
     ) -> DataFrame:
         """``query_id, row_id, distance, rank`` by distance, ties by row id.
 
-        ``queries`` is one vector or a table of them. Every shard is searched with the beam
-        ``ef`` (``efsearch`` if not given). With ``k``, the beam of the queries with fewer than k live rows
-        (of those in ``allowed``, if given) is doubled while wider beams may reach more.
+        ``queries`` is one vector or a table of them. Every shard is searched with the beam ``ef`` (if not
+        given, ``efsearch`` or what the shards need), which is twice k or more. Where rows are deleted or only those
+        in ``allowed`` count, half a beam is taken, as its farther half has gaps, and doubled for the queries
+        that have fewer than k rows nearer than where the half of any shard ends, until it is the whole shard.
         A null query finds nothing.
         """
-        ef = ef or self.options.efsearch
         if queries is None:
             return self._empty()
         if not isinstance(queries, DataFrame):
@@ -256,23 +270,32 @@ class AnnIndex:
             if vectors.shape[1] != self.options.dims:
                 raise ValueError(WRONG_DIMENSIONS % (vectors.shape[1], self.options.dims))
             blocks.append((ids, vectors))
+        least = ef or self.options.efsearch
+        wide = ef or max(least, self._meta.beam)
         total = self._empty().select("query_id", "row_id", "distance")
+        plain = allowed is None and not self._meta.deleted  # the k nearest of each shard are enough
+        depth = None if k is None else k if plain else max(k, least // 2)
         while blocks:
-            found = total
+            wide = wide if k is None else max(wide, 2 * depth)
+            last = plain or k is None or wide >= self._meta.largest
+            found = None
             for ids, vectors in blocks:
-                found = found.unionByName(self._beam(ids, vectors, ef))
+                reached = self._beam(ids, vectors, wide, depth if plain or not last else None, edges=not last)
+                found = reached if found is None else found.unionByName(reached)
             if allowed is not None:
-                found = found.join(allowed, "row_id", "left_semi")
-            if k is None or ef >= self._meta.largest:
-                total = found
+                found = found.join(allowed.withColumn("counts", F.lit(True)), "row_id", "left").filter("counts or edge")
+            if last:
+                total = total.unionByName(found.select("query_id", "row_id", "distance"))
                 break
-            found = stored(found, "beam")
-            full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+            found = stored(found.select("query_id", "row_id", "distance", "edge"), "beam")
+            edges = found.filter("edge").groupBy("query_id").agg(F.min("distance").alias("upto"))
+            found = found.filter("not edge").drop("edge")
+            full = found.join(edges, "query_id").filter("distance < upto").groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
             done = {row.query_id for row in full.toLocalIterator()}  # as many as there are stated queries, at most
+            total = total.unionByName(found.join(full, "query_id", "left_semi"))
             short = [np.array([name not in done for name in ids], dtype=bool) for ids, _ in blocks]
-            total = total.unionByName(found.join(full, "query_id", "left_semi") if any(s.any() for s in short) else found)
             blocks = [([n for n, s in zip(ids, some, strict=True) if s], vectors[some]) for (ids, vectors), some in zip(blocks, short, strict=True) if some.any()]
-            ef *= 2
+            depth *= 2
         by = Window.partitionBy("query_id").orderBy("distance", "row_id")
         ranked = total.select("query_id", "row_id", "distance").withColumn("rank", F.row_number().over(by))
         return ranked if k is None else ranked.filter(F.col("rank") <= k)
@@ -280,8 +303,11 @@ class AnnIndex:
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "query_id long, row_id long, distance double, rank int")
 
-    def _beam(self, ids: list, vectors: np.ndarray, ef: int) -> DataFrame:
-        """The nodes that a beam of every query reaches in every shard, deleted ones left out."""
+    def _beam(self, ids: list, vectors: np.ndarray, ef: int, depth: int | None = None, edges: bool = False) -> DataFrame:
+        """The nodes that a beam of every query reaches in every shard, deleted ones left out: all, or the nearest, so many as ``depth``.
+
+        With ``edges``, a row for each query and shard tells the distance from which on nodes may have been left out.
+        """
         options, shared = self.options, self.spark.sparkContext.broadcast((ids, vectors))
 
         def look(batches):
@@ -293,16 +319,27 @@ class AnnIndex:
                     have = have.astype(np.float64).reshape(len(rows), -1)
                     try:
                         graph = ShardGraph(have, options.metric, options.m, options.efconstruction, np.split(links, np.cumsum(degrees)[:-1]))
-                        reached = [np.array([node for _, node in graph.search(query, ef)], dtype=int) for query in shared.value[1]]
                     except Exception as error:
                         raise RuntimeError(SEARCH_FAILED) from error
-                    names = [name for name, nodes in zip(shared.value[0], reached, strict=True) for _ in nodes]
-                    distances = [exact_rows(options.metric, query, have[nodes]) for query, nodes in zip(shared.value[1], reached, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names, pa.int64()), pa.array(rows[np.concatenate(reached)]), pa.array(np.concatenate(distances)), pa.array(np.full(len(names), gen, np.int32))],
-                        names=["query_id", "row_id", "distance", "gen"],
-                    )
+                    step = max(1, BATCH_FINDS // min(len(rows), ef, depth or ef))
+                    for begin in range(0, len(shared.value[0]), step):
+                        names, wanted = np.array(shared.value[0][begin : begin + step], dtype=np.int64), shared.value[1][begin : begin + step]
+                        try:
+                            reached = [np.array([node for _, node in graph.search(query, ef)], dtype=int) for query in wanted]
+                        except Exception as error:
+                            raise RuntimeError(SEARCH_FAILED) from error
+                        nearest = [nodes[:depth] for nodes in reached]
+                        distances = [exact_rows(options.metric, query, have[nodes]) for query, nodes in zip(wanted, nearest, strict=True)]
+                        sizes = [len(nodes) for nodes in nearest]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(names, sizes)), pa.array(rows[np.concatenate(nearest)]), pa.array(np.concatenate(distances)), pa.array(np.zeros(sum(sizes), bool)), pa.array(np.full(sum(sizes), gen, np.int32))],
+                            names=_FOUND,
+                        )
+                        if edges:
+                            ends = [d[-1] if len(d) < len(nodes) else np.inf for d, nodes in zip(distances, reached, strict=True)]
+                            spread = names * 0x9E3779B97F4A7 + rows[0]  # any ids, of a generation that no tombstone is later than
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, spread, np.array(ends), np.ones(len(names), bool), np.full(len(names), 2**31 - 1, np.int32))], names=_FOUND)
 
         nodes = self._read_nodes([*map(int, self._meta.nodes)])
-        found = nodes.mapInArrow(look, "query_id long, row_id long, distance double, gen int")
-        return self._alive(found).select("query_id", "row_id", "distance")
+        found = nodes.mapInArrow(look, "query_id long, row_id long, distance double, edge boolean, gen int")
+        return self._alive(found).select("query_id", "row_id", "distance", "edge")
