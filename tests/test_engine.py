@@ -306,3 +306,43 @@ def test_beam_is_widened_to_what_the_shards_need(spark, tmp_path):
     found = {(r.query_id, r.row_id) for r in index.search(asked, 10).collect()}
     best = {(q, i) for q in range(0, 2000, 20) for i in np.argsort(((data - data[q]) ** 2).sum(1), kind="stable")[:10].tolist()}
     assert len(found) == 1000 and len(found & best) >= 950
+
+
+def test_joins_hold_few_pairs_at_a_time(spark, monkeypatch):
+    """Parts of the queries, ties, zero vectors and ids of text, against all pairs sorted."""
+    from vicinal.operators import exact
+
+    monkeypatch.setattr(exact, "TILE_PAIRS", 100)
+    monkeypatch.setattr(exact, "EXACT_PAIRS", 7)
+    rng = np.random.default_rng(17)
+    data = rng.integers(-2, 3, size=(300, 3)).astype(float)
+    for metric in ("l2", "cosine", "manhattan"):
+        best = exact.Best(metric, data[:40], 6)
+        for begin in range(0, 300, 90):
+            best.add(np.array([f"v{i:03}" for i in range(begin, min(300, begin + 90))], dtype=object), data[begin : begin + 90])
+        got = {}
+        for numbers, ids, d in best.rows(step=50):
+            for q, name, x in zip(numbers.tolist(), ids.tolist(), d.tolist(), strict=True):
+                got.setdefault(q, []).append((x, name))
+        for q in range(40):
+            d = exact.exact_rows(metric, data[q], data)
+            order = np.lexsort((np.arange(300), d))[:6]
+            assert [name for _, name in got[q]] == [f"v{i:03}" for i in order]
+            assert np.array_equal([x for x, _ in got[q]], d[order], equal_nan=True)
+
+
+def test_join_keeps_no_table_of_all_pairs():
+    """4,000 queries by 10,000 rows: 320 MB for one table of their distances; the k best of each and parts are held."""
+    import tracemalloc
+
+    from vicinal.operators import exact
+
+    rng = np.random.default_rng(19)
+    wanted, have = rng.normal(size=(4000, 8)), rng.normal(size=(10_000, 8))
+    tracemalloc.start()
+    best = exact.Best("l2", wanted, 5)
+    best.add(np.arange(10_000), have)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    assert set(best.ids[0].tolist()) == set(np.argsort(((have - wanted[0]) ** 2).sum(1))[:5].tolist())
