@@ -80,6 +80,21 @@ def test_a_tokenizer_of_other_rules(tmp_path):
         assert coder.encode([text], 2)[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_full_tables_are_emptied_one_by_one(monkeypatch):
+    """Pieces outlive the words that they were met in, and ids are the same whichever table is emptied."""
+    monkeypatch.setattr(cas, "CACHE_WORDS", 40)
+    tokenizer, draw = Tokenizer.from_file(WORDS), random.Random(23)
+    texts = ["".join(draw.choice("abcé'1., \n") for _ in range(120)) for _ in range(30)]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(cas, "CACHE_PIECES", most, raising=False)
+        coder = cas.Encoder(WORDS)
+        for i in range(0, 30, 2):
+            ids, ends = coder.encode(texts[i : i + 2], 2)
+            assert [x.tolist() for x in np.split(ids, ends[:-1])] == want[i : i + 2]
+        assert len(coder._words) < 100 and (len(coder._pieces) > 100) == (most > 10)
+
+
 def test_roots_of_streamed_leaves():
     for n in range(40):
         leaves, tree = [cas.digest(bytes([i])) for i in range(n)], cas.Merkle()

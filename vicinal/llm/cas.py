@@ -25,7 +25,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import chain, islice
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ from vicinal.llm.common import distinct_words, map_arrow, rows_of, runs, slices,
 from vicinal.sources import stored
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, np.uint32((1 << 9) - 1)
-#: Words that a process keeps the ids of; the tables are emptied when full.
-CACHE_WORDS = 1_000_000
+#: Words, and pieces of words, that a process keeps the ids of; each table is emptied when full.
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 1_000_000
 #: New pieces that the model gets at once.
 LINE_PIECES = 256
 
@@ -142,13 +142,15 @@ def _byte_letters() -> list[str]:
 class Numbers(dict):
     """Numbers of things, in the order in which they are first met."""
 
-    def __missing__(self, key: str | bytes) -> int:
-        number = self[key] = len(self)
-        return number
-
-    def since(self, number: int) -> list:
-        """What has this number or a later one."""
-        return list(islice(reversed(self), len(self) - number))[::-1]
+    def of(self, keys: list) -> tuple[np.ndarray, list]:
+        """The number of each, and those that are new."""
+        out = np.fromiter(map(self.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        at = np.flatnonzero(out < 0)
+        missing = [keys[i] for i in at.tolist()]
+        fresh = list(dict.fromkeys(missing))
+        self.update(zip(fresh, range(len(self), len(self) + len(fresh)), strict=True))
+        out[at] = np.fromiter(map(self.__getitem__, missing), dtype=np.int64, count=len(missing))
+        return out, fresh
 
 
 class Pool:
@@ -191,24 +193,30 @@ class Encoder:
         self._feed = letters[10]
         letters[32] = " "  # parts the pieces, none holds one
         self._letters = np.array([ord(x) for x in letters], dtype="<u2")
-        self._bare = Tokenizer(self._tokenizer.model)  # the same model, for pieces that are cut and spelled in byte letters
+        model = Tokenizer.from_file(tokenizer_file).model  # for pieces that are cut and spelled in byte letters; each comes once, so its cache is idle
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)
+        self._bare = Tokenizer(model)
         self._bare.pre_tokenizer = WhitespaceSplit()
         self._feed_ids = self._bare.encode(self._feed, add_special_tokens=False).ids
         self._by_words &= len(self._feed_ids) == 1
-        self._forget()
+        self._forget_words()
+        self._forget_pieces()
 
-    def _forget(self) -> None:
-        """Empty the tables of words and of pieces; a line feed is a piece without ids."""
+    def _forget_words(self) -> None:
         self._words, self._word_ids = Numbers(), Pool(self.kind)
+
+    def _forget_pieces(self) -> None:
+        """A line feed is a piece without ids. The words' ids do not depend on the table, so it may go before or after theirs."""
         self._pieces, self._piece_ids = Numbers({"\n": 0}), Pool(self.kind)
         self._piece_ids.add(np.zeros(0, dtype=self.kind), np.zeros(1, dtype=np.int64))
 
     def _learn(self, words: list[bytes]) -> None:
         """Add new words to the table. The library's model gets some new pieces at a time as one line, a line feed after each."""
-        known = len(self._pieces)
-        found = _CUT.findall(b"\n".join(words).decode().lower() + "\n")
-        at = np.fromiter(map(self._pieces.__getitem__, found), dtype=np.int64, count=len(found))
-        fresh, lines = self._pieces.since(known), []
+        if len(self._pieces) > CACHE_PIECES:
+            self._forget_pieces()
+        at, fresh = self._pieces.of(_CUT.findall(b"\n".join(words).decode().lower() + "\n"))
+        lines = []
         for start in range(0, len(fresh), LINE_PIECES):
             line = " \n ".join(fresh[start : start + LINE_PIECES]) + " \n"
             lines.append(self._letters[np.frombuffer(line.encode(), dtype=np.uint8)].tobytes().decode("utf-16-le"))
@@ -225,11 +233,10 @@ class Encoder:
         starts, ends = runs(raw > 32)  # the smaller bytes are white space in these texts
         words, of = distinct_words(raw, starts, ends)
         if len(self._words) + len(words) > CACHE_WORDS:
-            self._forget()
-        known = len(self._words)
-        numbers = np.fromiter(map(self._words.__getitem__, words), dtype=np.int64, count=len(words))
-        if len(self._words) > known:
-            self._learn(self._words.since(known))
+            self._forget_words()
+        numbers, fresh = self._words.of(words.tolist())
+        if fresh:
+            self._learn(fresh)
         ids, upto = self._word_ids.get(numbers[of])
         words_before = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
         last = np.concatenate([[0], upto])[words_before]
@@ -265,7 +272,7 @@ def _cut(docs: DataFrame, tokenizer_file: str, end_id: int, id_column: str, text
         coder = encoder(tokenizer_file)
         types = [batch.column("doc_id").type, *(t for _, t in columns[1:])]
         names = [n for n, _ in columns]
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text"):
             recipes, chunks, start = [], {}, 0
             ids, stops = coder.encode(part.column("text").to_pylist(), end_id)
             marks = _marks(ids)
