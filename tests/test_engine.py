@@ -346,3 +346,47 @@ def test_join_keeps_no_table_of_all_pairs():
     tracemalloc.stop()
     assert peak < 120e6
     assert set(best.ids[0].tolist()) == set(np.argsort(((have - wanted[0]) ** 2).sum(1))[:5].tolist())
+
+
+@pytest.mark.parametrize("metric", ORDER)
+def test_beams_of_many_queries_are_those_of_each(metric):
+    rng = np.random.default_rng(23)
+    data = rng.normal(size=(900, 12))
+    data[5], data[700:720] = 0, data[3]  # cosine with a zero vector is NaN; equal rows
+    graph = ShardGraph(data, metric, m=8, efconstruction=16)
+    from vicinal.operators.exact import exact_rows
+
+    asked = np.concatenate([data[:40], rng.normal(size=(200, 12))])
+    together = graph.search_all(asked, 48, 10)
+    for query, (nodes, d) in zip(asked[::7], together[::7], strict=True):
+        alone = graph.search(query, 48)[:10]
+        assert [n for _, n in alone] == nodes.tolist() and np.array_equal([x for x, _ in alone], d, equal_nan=True)
+        assert np.array_equal(exact_rows(metric, query, data[nodes]), d, equal_nan=True)
+    for node, (nodes, _) in zip(range(0, 900, 90), graph.search_all(data[::90], 900, None, np.arange(0, 900, 90)), strict=True):
+        assert node not in nodes and len(nodes) >= 890
+    again = ShardGraph(data, metric, 8, 16, graph.packed())
+    assert all((a[0] == b[0]).all() for a, b in zip(together, again.search_all(asked, 48, 10), strict=True))
+
+
+def test_one_shard_is_searched_by_several_tasks(spark, tmp_path):
+    data = np.random.default_rng(29).normal(size=(600, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, val array<float>")
+    index = AnnIndex.build(df, f"file://{tmp_path}/i", id_column="id", column="val", dims=6)
+    found = index._beam(list(range(600)), data.astype(float), 32, 1)
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted((r.query_id, r.row_id) for r in found.collect()) == [(i, i) for i in range(600)]
+
+
+def test_filtered_search_begins_as_wide_as_the_filter_asks(spark, tmp_path, monkeypatch):
+    """A filter that leaves a sixtieth: a beam for all queries, and one more for few, where it was doubled from ten nodes on."""
+    data = np.random.default_rng(31).normal(size=(3000, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, val array<float>")
+    index = AnnIndex.build(df, f"file://{tmp_path}/i", id_column="id", column="val", dims=6, efsearch=16)
+    rounds, beam = [], AnnIndex._beam
+    monkeypatch.setattr(AnnIndex, "_beam", lambda self, ids, *a, **o: rounds.append(len(ids)) or beam(self, ids, *a, **o))
+    asked = df.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("val").alias("query"))
+    found = {(r.query_id, r.row_id) for r in index.search(asked, 10, allowed=df.filter("id % 60 = 7").select(F.col("id").alias("row_id"))).collect()}
+    assert len(rounds) <= 2 and sum(rounds) <= 170
+    live = np.arange(7, 3000, 60)
+    best = {(q, i) for q in range(0, 3000, 20) for i in live[np.argsort(((data[live] - data[q]) ** 2).sum(1), kind="stable")[:10]].tolist()}
+    assert len(found) == 1500 and len(found & best) >= 1480

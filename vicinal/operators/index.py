@@ -12,8 +12,10 @@ small generations are merged when they are more than ``MOST_SMALL``.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,8 @@ MOST_SMALL = 16
 BATCH_FINDS = 1 << 18
 #: Bytes of shards that one Arrow batch takes to a worker, unless one shard is larger.
 BATCH_BYTES = 64 << 20
+#: Tasks of a search for each core, and queries that a task of a shard has at least where several share it.
+TASKS_PER_CORE, LEAST_ASKED = 4, 128
 
 
 @dataclass(frozen=True)
@@ -133,7 +137,7 @@ class AnnIndex:
                 beam = graph.beam_for(options.recall) if options.recall else 0
             except Exception as error:
                 raise RuntimeError(INSERT_FAILED) from error
-            packed = [part.row_id.to_numpy(np.int64), vectors, np.array([len(x) for x in graph.links], np.int32), np.concatenate(graph.links).astype(np.int32)]
+            packed = [part.row_id.to_numpy(np.int64), vectors, *(x.astype(np.int32) for x in graph.packed())]
             return pd.DataFrame([[int(key[0]), *(x.tobytes() for x in packed), beam]], columns=["shard", "row_ids", "vectors", "degrees", "links", "beam"])
 
         placed = rows.withColumn("shard", (F.pmod(F.xxhash64("row_id"), F.lit(shards)) + first).cast("int"))
@@ -239,6 +243,9 @@ class AnnIndex:
     def count(self) -> int:
         return self.rows().count()
 
+    def _shards(self) -> int:
+        return sum(max(1, -(-n // self.options.shard_rows)) for n in self._meta.nodes.values()) or 1
+
     # -- search -------------------------------------------------------------------------
     def search(
         self,
@@ -256,7 +263,8 @@ class AnnIndex:
         ``queries`` is one vector or a table of them. Every shard is searched with the beam ``ef`` (if not
         given, ``efsearch`` or what the shards need), which is twice k or more. Where rows are deleted or only those
         in ``allowed`` count, half a beam is taken, as its farther half has gaps, and doubled for the queries
-        that have fewer than k rows nearer than where the half of any shard ends, until it is the whole shard.
+        that have fewer than k rows nearer than where the half of any shard ends, until it is the whole shard. The
+        first beam is as wide as the share of the rows in ``allowed`` lets expect.
         A null query finds nothing.
         """
         if queries is None:
@@ -271,16 +279,18 @@ class AnnIndex:
                 raise ValueError(WRONG_DIMENSIONS % (vectors.shape[1], self.options.dims))
             blocks.append((ids, vectors))
         least = ef or self.options.efsearch
-        wide = ef or max(least, self._meta.beam)
+        wide = least  # shards that need more have a beam of their own, unless ef is given
         total = self._empty().select("query_id", "row_id", "distance")
         plain = allowed is None and not self._meta.deleted  # the k nearest of each shard are enough
         depth = None if k is None else k if plain else max(k, least // 2)
+        if k is not None and allowed is not None and blocks and wide < self._meta.largest:  # about as many as hold k that count, with some to spare, so that few queries need another round
+            depth = max(depth, self._depth_for(k, allowed.count()))
         while blocks:
             wide = wide if k is None else max(wide, 2 * depth)
             last = plain or k is None or wide >= self._meta.largest
             found = None
             for ids, vectors in blocks:
-                reached = self._beam(ids, vectors, wide, depth if plain or not last else None, edges=not last)
+                reached = self._beam(ids, vectors, wide, depth if plain or not last else None, edges=not last, widen=ef is None)
                 found = reached if found is None else found.unionByName(reached)
             if allowed is not None:
                 found = found.join(allowed.withColumn("counts", F.lit(True)), "row_id", "left").filter("counts or edge")
@@ -300,46 +310,58 @@ class AnnIndex:
         ranked = total.select("query_id", "row_id", "distance").withColumn("rank", F.row_number().over(by))
         return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
+    def _depth_for(self, k: int, counting: int) -> int:
+        """Nodes of each shard among which k of so many that count may be expected, twice over; all are the most."""
+        share = k * self._meta.rows / (max(1, counting) * self._shards())
+        return min(self._meta.largest, 2 * math.ceil(share) + 8 * math.ceil(math.sqrt(share)))
+
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "query_id long, row_id long, distance double, rank int")
 
-    def _beam(self, ids: list, vectors: np.ndarray, ef: int, depth: int | None = None, edges: bool = False) -> DataFrame:
+    def _beam(self, ids: list, vectors: np.ndarray, ef: int, depth: int | None = None, edges: bool = False, widen: bool = False) -> DataFrame:
         """The nodes that a beam of every query reaches in every shard, deleted ones left out: all, or the nearest, so many as ``depth``.
 
-        With ``edges``, a row for each query and shard tells the distance from which on nodes may have been left out.
+        With ``widen``, the beam is that which the shard needs, where it is wider. With ``edges``, a row for each query and shard tells the distance from which on nodes may have been left out.
         """
         options, shared = self.options, self.spark.sparkContext.broadcast((ids, vectors))
+        # fewer shards than cores would leave cores idle: each shard is read by so many tasks, with a part of the queries each
+        parts = max(1, min(-(-TASKS_PER_CORE * self.spark.sparkContext.defaultParallelism // self._shards()), len(ids) // LEAST_ASKED))
 
-        def look(batches):
+        def look(batches, part=0):
             for batch in batches:
-                for gen, *packed in zip(*(batch.column(c).to_pylist() for c in ("gen", "row_ids", "vectors", "degrees", "links")), strict=True):
+                for gen, beam, *packed in zip(*(batch.column(c).to_pylist() for c in ("gen", "beam", "row_ids", "vectors", "degrees", "links")), strict=True):
+                    width = max(ef, beam) if widen else ef
                     rows, have, degrees, links = (np.frombuffer(x, kind) for x, kind in zip(packed, (np.int64, np.float32, np.int32, np.int32), strict=True))
                     if len(have) != len(rows) * options.dims:
                         raise IndexDataError(WRONG_DIMENSIONS % (len(have) // max(1, len(rows)), options.dims))
                     have = have.astype(np.float64).reshape(len(rows), -1)
                     try:
-                        graph = ShardGraph(have, options.metric, options.m, options.efconstruction, np.split(links, np.cumsum(degrees)[:-1]))
+                        graph = ShardGraph(have, options.metric, options.m, options.efconstruction, (degrees, links))
                     except Exception as error:
                         raise RuntimeError(SEARCH_FAILED) from error
-                    step = max(1, BATCH_FINDS // min(len(rows), ef, depth or ef))
-                    for begin in range(0, len(shared.value[0]), step):
-                        names, wanted = np.array(shared.value[0][begin : begin + step], dtype=np.int64), shared.value[1][begin : begin + step]
+                    first, end = (len(shared.value[0]) * x // parts for x in (part, part + 1))
+                    step = max(1, BATCH_FINDS // min(len(rows), width, depth or width))
+                    for begin in range(first, end, step):
+                        own = slice(begin, min(begin + step, end))
+                        names, wanted = np.array(shared.value[0][own], dtype=np.int64), shared.value[1][own]
                         try:
-                            reached = [np.array([node for _, node in graph.search(query, ef)], dtype=int) for query in wanted]
+                            reached = graph.search_all(wanted, width, None if depth is None else depth + 1)  # one more tells whether any are left out
                         except Exception as error:
                             raise RuntimeError(SEARCH_FAILED) from error
-                        nearest = [nodes[:depth] for nodes in reached]
-                        distances = [exact_rows(options.metric, query, have[nodes]) for query, nodes in zip(wanted, nearest, strict=True)]
+                        nearest, distances = [nodes[:depth] for nodes, _ in reached], [d[:depth] for _, d in reached]
                         sizes = [len(nodes) for nodes in nearest]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.repeat(names, sizes)), pa.array(rows[np.concatenate(nearest)]), pa.array(np.concatenate(distances)), pa.array(np.zeros(sum(sizes), bool)), pa.array(np.full(sum(sizes), gen, np.int32))],
                             names=_FOUND,
                         )
                         if edges:
-                            ends = [d[-1] if len(d) < len(nodes) else np.inf for d, nodes in zip(distances, reached, strict=True)]
+                            ends = [d[-1] if len(d) < len(nodes) else np.inf for d, (nodes, _) in zip(distances, reached, strict=True)]
                             spread = names * 0x9E3779B97F4A7 + rows[0]  # any ids, of a generation that no tombstone is later than
                             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, spread, np.array(ends), np.ones(len(names), bool), np.full(len(names), 2**31 - 1, np.int32))], names=_FOUND)
 
         nodes = self._read_nodes([*map(int, self._meta.nodes)])
-        found = nodes.mapInArrow(look, "query_id long, row_id long, distance double, edge boolean, gen int")
+        found = None
+        for part in range(parts):
+            reached = nodes.mapInArrow(partial(look, part=part), "query_id long, row_id long, distance double, edge boolean, gen int")
+            found = reached if found is None else found.unionByName(reached)
         return self._alive(found).select("query_id", "row_id", "distance", "edge")
