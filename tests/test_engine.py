@@ -390,3 +390,29 @@ def test_filtered_search_begins_as_wide_as_the_filter_asks(spark, tmp_path, monk
     live = np.arange(7, 3000, 60)
     best = {(q, i) for q in range(0, 3000, 20) for i in live[np.argsort(((data[live] - data[q]) ** 2).sum(1), kind="stable")[:10]].tolist()}
     assert len(found) == 1500 and len(found & best) >= 1480
+
+
+def test_join_computes_few_distances_in_full(monkeypatch):
+    """The first rows of a task bound the others: few pairs are subtracted in double precision, whatever the metric."""
+    from vicinal.operators import exact
+
+    rng = np.random.default_rng(37)
+    for scale, spread in ((1, 1), (1e4, 1e-6)):
+        have = (scale * (rng.normal(size=16) + spread * rng.normal(size=(6000, 16)))).astype(np.float32).astype(float)
+        wanted = have[::60]
+        for metric in ("l2", "cosine", "manhattan"):
+            full, pairwise = [], exact.pairwise
+            with monkeypatch.context() as patch:
+                patch.setattr(exact, "pairwise", lambda m, q, b: full.append(len(q) * len(b)) or pairwise(m, q, b))  # noqa: B023
+                best = exact.Best(metric, wanted, 10)
+                for begin in range(0, 6000, 2500):
+                    best.add(np.arange(begin, min(6000, begin + 2500)), have[begin : begin + 2500])
+            assert sum(full) <= wanted.shape[0] * 6000 // 10
+            for q, ids, d in zip(wanted, best.ids, best.distances, strict=True):
+                own = exact.exact_rows(metric, q, have)
+                order = np.lexsort((np.arange(6000), own))[:10]
+                assert ids.tolist() == order.tolist() and (d == own[order]).all()
+            near = exact.Bounds(metric, have)
+            low, gap = near.of(wanted)
+            keys = pairwise(metric, wanted, have)[0] if metric != "l2" else np.stack([exact.exact_rows("l2", q, have) ** 2 for q in wanted])
+            assert (low <= keys).all() and (keys <= low + gap(np.arange(len(wanted)))).all()
